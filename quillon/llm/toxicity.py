@@ -183,7 +183,7 @@ def fit(
     max_examples: int = 4000,
     max_terms: int = 4096,
     min_rows: int = 4,
-    least: float = 12.0,
+    least: float = 30.0,
 ) -> ToxicityModel:
     """The model from ``labels`` (doc_id, ``label`` 0/1); rows of other labels are ignored."""
     sample, classes = labelled_sample(docs, labels, label, max_examples)
