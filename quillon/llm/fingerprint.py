@@ -14,6 +14,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,12 +123,19 @@ def with_successor(docs: DataFrame, k: int = 128, n: int = 5, ranges: int | None
     bounds = sorted({first, *cuts}) if cuts else []
     if not bounds:
         return spark.createDataFrame([], _FIELDS)
-    array = F.array(*[F.lit(b).cast("long") for b in bounds])
-    #: Position of the last bound not above the key.
-    own = F.expr(f"{len(bounds)} - 1") if len(bounds) == 1 else _position(F.col("key"), bounds)
-    guest = F.when(F.array_contains(array, F.col("key")), F.pmod(own - 1, F.lit(len(bounds))))
+    table = np.array(bounds, np.int64)
+
+    @F.pandas_udf("long")
+    def place(key: pd.Series) -> pd.Series:
+        """Twice the place of the last bound not above a key, and one more if the key is that bound."""
+        at = np.searchsorted(table, key.to_numpy(), "right") - 1
+        return pd.Series(2 * at + (table[at] == key.to_numpy()))
+
+    own = F.shiftright("place", 1).cast("int")
+    guest = F.when(F.col("place") % 2 == 1, F.pmod(own - 1, F.lit(len(bounds))))
     dealt = (
-        rows.withColumn("to", F.explode(F.filter(F.array(F.struct(own.alias("part"), F.lit(False).alias("guest")), F.struct(guest.alias("part"), F.lit(True).alias("guest"))), lambda x: x["part"].isNotNull())))
+        rows.withColumn("place", place("key"))
+        .withColumn("to", F.explode(F.filter(F.array(F.struct(own.alias("part"), F.lit(False).alias("guest")), F.struct(guest.alias("part"), F.lit(True).alias("guest"))), lambda x: x["part"].isNotNull())))
         .select("to.part", "to.guest", "key", "doc_id", "text")
         .repartition(width(spark), "part")
         .sortWithinPartitions("part", "guest", "key", "text")
@@ -155,18 +163,6 @@ def with_successor(docs: DataFrame, k: int = 128, n: int = 5, ranges: int | None
     return dealt.select("part", "guest", "doc_id", "text").mapInArrow(run, _FIELDS)
 
 
-def _position(key, bounds: list[int]):
-    """Index of the last bound not above ``key``, by halving: a tree of comparisons as deep as log2 of their number."""
-
-    def within(a: int, b: int):
-        if b - a == 1:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(key < F.lit(bounds[m]).cast("long"), within(a, m)).otherwise(within(m, b))
-
-    return within(0, len(bounds))
-
-
 class _Pairs:
     """Results of documents and their successors; a successor's sketch is kept for its own turn."""
 

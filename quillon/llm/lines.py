@@ -143,7 +143,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     common = runs.merged().where(F.col("n_docs") >= min_docs).select("hi", "lo", "last_doc")
     #: What each document loses; a line that a third of all documents hold is one of the keys that adaptive joins split.
     lost = hashes.join(common, ["hi", "lo"]).where("doc_id < last_doc").select("doc_id", "hi", "lo")
-    lost = lost.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("lost")).withColumnRenamed("doc_id", "lost_id")
+    lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("lost")).withColumnRenamed("doc_id", "lost_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.join(lost, F.coalesce(F.col("doc_id"), F.lit(_LOW)) == F.col("lost_id"), "left").select("doc_id", "text", "lost")
 
