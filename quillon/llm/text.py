@@ -41,8 +41,13 @@ def plain_words(text: bytes | None) -> list[bytes]:
 
 
 class _Codes(dict):
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
+        self.fresh.append(word)
         return n
 
 
@@ -53,23 +58,30 @@ class WordCoder:
     """
 
     def __init__(self, reset_at: int = 400_000) -> None:
-        self.reset_at, self.codes, self._hashes = reset_at, _Codes(), np.empty(0, np.uint64)
+        self.reset_at = reset_at
+        self._clear()
+
+    def _clear(self) -> None:
+        self.codes, self._room, self._n = _Codes(), np.empty(0, np.uint64), 0
 
     def renew(self) -> None:
         if len(self.codes) > self.reset_at:
-            self.codes, self._hashes = _Codes(), np.empty(0, np.uint64)
+            self._clear()
 
     def encode(self, tokens: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.codes.__getitem__, tokens), np.int64, len(tokens))
 
     def hashes(self) -> np.ndarray:
-        known = len(self._hashes)
-        if known < len(self.codes):
-            import itertools
-
-            new = [xxhash.xxh3_64_intdigest(w) for w in itertools.islice(self.codes, known, None)]
-            self._hashes = np.concatenate([self._hashes, np.array(new, np.uint64)])
-        return self._hashes
+        """Hash of each code; room grows by doubling, so many small calls stay cheap."""
+        fresh = self.codes.fresh
+        if fresh:
+            new = np.array([xxhash.xxh3_64_intdigest(w) for w in fresh], np.uint64)
+            n = self._n + len(new)
+            if n > len(self._room):
+                self._room = np.concatenate([self._room[: self._n], np.empty(max(n, 1024), np.uint64)])
+            self._room[self._n : n] = new
+            self._n, self.codes.fresh = n, []
+        return self._room[: self._n]
 
     def hashed(self, tokens: list[bytes]) -> np.ndarray:
         codes = self.encode(tokens)
