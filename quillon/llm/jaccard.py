@@ -8,10 +8,12 @@ Steps, all over whole texts and all rows:
 3. A set's prefix under an order is its first ``size - ceil(t * size) + 1`` shingles.  Two sets with Jaccard similarity of t or more share a prefix
    shingle under *every* global order.  The orders here all put rare shingles first (by the power of two of their frequency) and break ties by different
    scrambles.  Shingles of one row lead each order and are not sent.
-4. Star round: in each bucket (first order's prefix shingle) the smallest class is the leader; each class is verified against the leader that it meets in most buckets.
-   Links found join classes to components.  A group of near copies costs one comparison a member.
-5. Exhaustive round: candidates are pairs of *different components* that share a prefix shingle under all orders. In a bucket, classes outside
-   its largest component meet all classes of other components, so no pair within the largest is ever made.  Candidates are verified exactly; links within a component cannot change it.
+4. Star round: in each bucket (first order's prefix shingle) the class with the least share of unshared shingles leads; each class is verified against the
+   leader that it meets in most buckets.  Links found join classes to components.  A group of near copies costs one comparison a member.
+5. Exhaustive round: candidates are pairs of *different components* that share a prefix shingle under all orders.  Two sets share no more than the smaller
+   number of their shared shingles, which with the sizes bounds their similarity; a bucket's (size, shared) kinds are paired first, and only classes of
+   kinds that can reach t with another go on. In a bucket, classes outside its largest component meet those of other components, so no pair within the largest
+   is ever made.  Candidates are verified exactly; links within a component cannot change it.
 
 The result is exact: the components of all links of t or more.
 
@@ -26,7 +28,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
@@ -135,7 +137,7 @@ def _needed(size: int, t: Fraction) -> int:
 def _prefixes(t: Fraction, orders: int):
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for rep, size, tokens, freq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = unpack_sorted(tokens)
                 room = size - _needed(size, t) + 1 - (size - len(h))
@@ -148,8 +150,9 @@ def _prefixes(t: Fraction, orders: int):
                     out[1].append(first.astype(np.int64))
                     out[2].append(np.full(len(first), rep, np.int64))
                     out[3].append(np.full(len(first), size, np.int64))
+                    out[4].append(np.full(len(first), len(h), np.int64))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["order", "token", "rep", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["order", "token", "rep", "size", "shared"])
 
     return run
 
@@ -171,6 +174,21 @@ def _verify(t: Fraction):
     return run
 
 
+def _reachable(sa: Column, ma: Column, sb: Column, mb: Column, t: Fraction) -> Column:
+    """Whether sets of these sizes, with so many shingles that other rows hold too, can be t alike."""
+    most = F.least(ma, mb)
+    return most * t.denominator >= (sa + sb - most) * t.numerator
+
+
+def _feasible(grams: DataFrame, t: Fraction) -> DataFrame:
+    """(order, token, size, shared) of buckets with a kind of another component that can reach t. One row a kind, not a class."""
+    kinds = written(grams.groupBy("order", "token", "size", "shared").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "kinds")
+    other = kinds.select(*[F.col(c).alias(f"{c}_b") for c in kinds.columns])
+    apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo") == F.col("lo_b")))
+    on = (F.col("order") == F.col("order_b")) & (F.col("token") == F.col("token_b")) & apart
+    return kinds.join(other, on & _reachable(F.col("size"), F.col("shared"), F.col("size_b"), F.col("shared_b"), t), "left_semi").drop("lo", "hi")
+
+
 def _links(pairs: DataFrame, reps: DataFrame, t: Fraction) -> DataFrame:
     """Verified pairs (a, b). A leader with very many members is a hot key of the second join, which adaptive execution splits."""
     left = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("sa"), F.col("tokens").alias("ta"))
@@ -196,29 +214,31 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", o
     same = (F.col("hi") == F.col("c_hi")) & (F.col("lo") == F.col("c_lo")) & (F.col("doc_id") == F.col("rep"))
     reps = sets.where("n_shingles > 0").join(keys, same).select("rep", "n_shingles", "tokens", "freq").dropDuplicates(["rep"])
 
-    grams = reps.mapInArrow(_prefixes(t, orders), "order int, token long, rep long, size long")
+    grams = reps.mapInArrow(_prefixes(t, orders), "order int, token long, rep long, size long, shared long")
     #: Buckets of one class make no pair and go at once.
     grams = written(grams, "prefixes")
-    bucket = grams.groupBy("order", "token").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
-    bucket = bucket.select(F.col("order").alias("b_order"), F.col("token").alias("b_token"), "leader")
-    grams = written(grams.join(bucket, (F.col("order") == F.col("b_order")) & (F.col("token") == F.col("b_token"))).select("order", "token", "rep", "size", "leader"), "buckets")
+    lead = F.min(F.struct(((F.col("size") - F.col("shared")) / F.col("size")).alias("alone"), "rep"))
+    bucket = grams.groupBy("order", "token").agg(lead.alias("lead"), F.min("rep").alias("least"), F.max("rep").alias("last")).where("least < last")
+    bucket = bucket.select(F.col("order").alias("b_order"), F.col("token").alias("b_token"), F.col("lead.rep").alias("leader"))
+    grams = written(grams.join(bucket, (F.col("order") == F.col("b_order")) & (F.col("token") == F.col("b_token"))).select("order", "token", "rep", "size", "shared", "leader"), "buckets")
     reps = written(reps.join(grams.select(F.col("rep").alias("used")).distinct(), F.col("rep") == F.col("used"), "left_semi").select("rep", "n_shingles", "tokens"), "candidates")
 
-    met = grams.where("order = 0 and rep > leader").groupBy("rep", "leader").agg(F.count("*").alias("times"))
+    met = grams.where("order = 0 and rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("times"))
     best = met.groupBy("rep").agg(F.max(F.struct("times", (-F.col("leader")).alias("minus"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.minus")).alias("b"))
     star = written(_links(best, reps, t), "star-links")
     first = written(connected_components(star), "star-components")
 
     component = first.select(F.col("node").alias("c_node"), F.col("component").alias("c_of"))
-    grams = grams.drop("leader").join(component, F.col("rep") == F.col("c_node"), "left").select("order", "token", "rep", "size", F.coalesce("c_of", "rep").alias("comp"))
+    grams = grams.drop("leader").join(component, F.col("rep") == F.col("c_node"), "left").select("order", "token", "rep", "size", "shared", F.coalesce("c_of", "rep").alias("comp"))
     grams = written(grams, "buckets")
+    grams = grams.join(_feasible(grams, t), ["order", "token", "size", "shared"], "left_semi").select("order", "token", "rep", "size", "shared", "comp")
     sizes = grams.groupBy("order", "token", "comp").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("order", "token").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     largest = largest.select(F.col("order").alias("l_order"), F.col("token").alias("l_token"), F.col("top.comp").alias("top"))
-    mixed = written(grams.join(largest, (F.col("order") == F.col("l_order")) & (F.col("token") == F.col("l_token"))).select("order", "token", "rep", "size", "comp", "top"), "mixed-buckets")
-    few = mixed.where("comp <> top").select("order", "token", F.col("rep").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"))
-    every = mixed.select(F.col("order").alias("o"), F.col("token").alias("t"), F.col("rep").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"), "top")
-    near = (F.col("sa") * t.denominator >= F.col("sb") * t.numerator) & (F.col("sb") * t.denominator >= F.col("sa") * t.numerator)
+    mixed = written(grams.join(largest, (F.col("order") == F.col("l_order")) & (F.col("token") == F.col("l_token"))).select("order", "token", "rep", "size", "shared", "comp", "top"), "mixed-buckets")
+    few = mixed.where("comp <> top").select("order", "token", F.col("rep").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("ma"), F.col("comp").alias("ca"))
+    every = mixed.select(F.col("order").alias("o"), F.col("token").alias("t"), F.col("rep").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("mb"), F.col("comp").alias("cb"), "top")
+    near = _reachable(F.col("sa"), F.col("ma"), F.col("sb"), F.col("mb"), t)
     once = (F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))
     pairs = few.join(every, (F.col("order") == F.col("o")) & (F.col("token") == F.col("t")) & (F.col("ca") != F.col("cb")) & near & once)
     pairs = pairs.select("order", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
