@@ -18,6 +18,7 @@ null or empty text holds nothing; repeated items and repeated documents each cou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 from math import comb
 
@@ -31,12 +32,18 @@ from quillon.llm.text import WordCoder, plain_words, shingles
 MATCH = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 
 
+def needed(size: int, threshold: float) -> int:
+    """The least whole number of shingles that is ``threshold`` of ``size``, with the threshold taken as the decimal it is written as."""
+    t = Fraction(str(threshold))
+    return -(-size * t.numerator // t.denominator)
+
+
 def least_hits(size: int, sketch: int, threshold: float, miss: float) -> int:
     """The most hits one may ask for of a sketch so that an item of ``threshold`` containment passes with 1 - ``miss``.
 
     The shingles found are drawn without replacement, so hits are hypergeometric.
     """
-    held = -int(-(threshold * size) // 1)
+    held = needed(size, threshold)
     if sketch >= size:
         return held
     below, total = 0.0, comb(size, sketch)
@@ -70,6 +77,7 @@ class ItemIndex:
             every_hash.append(s)
             every_owner.append(np.full(len(s), at))
         self.need, self.sizes = np.array(need, np.int64), np.array(sizes, np.int64)
+        self.enough = [needed(m, threshold) for m in sizes]
         self.sketch, self.sketch_owner = self._table(hashes, owners)
         self.whole, self.whole_owner = self._table(every_hash, every_owner)
         self.bloom = np.zeros(1 << 21, bool)
@@ -102,7 +110,7 @@ class ItemIndex:
             return []
         whole = np.unique(doc_shingles)
         shared = self._hits(self.whole, self.whole_owner, whole[np.isin(whole, self.whole)], n)
-        return [(self.ids[c], int(shared[c]), int(self.sizes[c])) for c in candidates if shared[c] >= self.threshold * self.sizes[c]]
+        return [(self.ids[c], int(shared[c]), int(self.sizes[c])) for c in candidates if shared[c] >= self.enough[c]]
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, bytes]]]:
