@@ -44,12 +44,13 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class LogFrequencyFilter:
     """Slices of a Bloom filter by the top bits of 48-bit keys."""
 
-    def __init__(self, slices: list[bytes], hashes: int, base: float) -> None:
+    def __init__(self, slices: bytes, lengths: list[int], hashes: int, base: float) -> None:
+        """``slices`` one after the other, used in place."""
         self.hashes, self.base = hashes, base
-        self.edges = np.array([(i << 48) // len(slices) for i in range(1, len(slices))], np.uint64)
-        sizes = np.array([len(s) * 8 for s in slices], np.uint64)
+        self.edges = np.array([(i << 48) // len(lengths) for i in range(1, len(lengths))], np.uint64)
+        sizes = np.array(lengths, np.uint64) * np.uint64(8)
         self.sizes, self.bases = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64)
-        self.bits = np.frombuffer(b"".join(slices), np.uint8)
+        self.bits = np.frombuffer(slices, np.uint8)
         self.value = np.array([0.0] + [_middle(j, base) for j in range(1, 65)])
 
     @staticmethod
@@ -75,8 +76,10 @@ class LogFrequencyFilter:
                     bits[cls.probes(keys, order, level, i) % m] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
-    def counts(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """Estimated counts: the middle of the highest level up to which all probes hit."""
+    def counts(self, keys: np.ndarray, order: int, block: int = 1 << 18) -> np.ndarray:
+        """Estimated counts: the middle of the highest level up to which all probes hit. Keys are probed in blocks."""
+        if len(keys) > block:
+            return np.concatenate([self.counts(keys[a : a + block], order) for a in range(0, len(keys), block)])
         shard = np.searchsorted(self.edges, keys, "right")
         size, base = self.sizes[shard], self.bases[shard]
         level, at = np.zeros(len(keys), np.int64), np.arange(len(keys))
@@ -105,7 +108,7 @@ def _chunks(chunk_bytes: int, shards: int):
         task, seq = TaskContext.get().partitionId(), 0
         for ids, texts, train in in_chunks(batches, chunk_bytes):
             coder = WordCoder()
-            coder.codes[b" end"] = 0  # no word holds a space
+            coder.encode([b" end"])  # code 0; no word holds a space
             codes, lens = [], []
             for t in texts:
                 c = coder.encode(words(t))
@@ -178,7 +181,7 @@ def _shard(hashes: int, base: float, bits_per_level: float, max_bytes: int):
 def score_documents(
     docs: DataFrame,
     train,
-    chunk_bytes: int = 6 << 20,
+    chunk_bytes: int = 3 << 20,
     hashes: int = 4,
     base: float = 1.5,
     bits_per_level: float = 6.0,
@@ -197,37 +200,45 @@ def score_documents(
         slices[r.shard] = bytes(r.body)
         a, b = np.frombuffer(r.head, np.int64)
         n_train, n_distinct = n_train + int(a), n_distinct + int(b)
-    model = spark.sparkContext.broadcast((slices, n_train, n_distinct))
+    lengths, joined = [len(s) for s in slices], b"".join(slices)
+    del slices
+    model = spark.sparkContext.broadcast((joined, lengths, n_train, n_distinct))
 
     def score(part: pa.Table) -> pa.Table:
         filt, total, distinct = _opened(model, hashes, base)
         rows = list(zip(*(part.column(c).to_pylist() for c in ("shard", "kind", "head", "body")), strict=True))
+        del part
         meta, body = next((r[2], r[3]) for r in rows if r[1] == 0)
         n = int(np.frombuffer(meta, np.int64, 1)[0])
         nulls, is_train = np.frombuffer(meta, np.uint8, n, 8).astype(bool), np.frombuffer(meta, np.uint8, n, 8 + n).astype(bool)
         ids = np.frombuffer(meta[8 + 2 * n : 8 + 10 * n], np.int64)
-        lens, flat = unpack(meta[8 + 10 * n :]), unpack(body)
-        counts = np.concatenate([unpack(r[3]) for r in sorted(r for r in rows if r[1] == 3)])
+        lens, flat = unpack(meta[8 + 10 * n :]), unpack(body).astype(np.int32)
+        answers = sorted(r for r in rows if r[1] == 3)
+        del rows, body
+        counts, hashes_of = np.concatenate([unpack(r[3]) for r in answers]), np.concatenate([unpack_sorted(r[2]) for r in answers])
+        del answers
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        exact = counts[flat]
-        base_log = np.log10((exact + 1) / (total + distinct + 1.0)) if total + distinct else np.zeros(len(flat))
-        known = np.add.reduceat((exact > 0).astype(np.int64), starts)
-        hashes_of = _hashes(rows)
+        #: Everything that depends on a word alone is worked out once a word of the chunk.
+        base_log = np.add.reduceat(np.log10((counts + 1) / (total + distinct + 1.0))[flat], starts)
+        known = np.add.reduceat((counts > 0)[flat].astype(np.int64), starts)
+        single = filt.counts(hashes_of >> _KEY, 1)
+        end_count = filt.counts(np.array([END >> _KEY], np.uint64), 1)[0]
         tokens = hashes_of[flat]
         before = np.concatenate([[START], tokens[:-1]])
         before[starts] = START
-        single = filt.counts(hashes_of >> _KEY, 1)
-        end_count = filt.counts(np.array([END >> _KEY], np.uint64), 1)[0]
-        context = np.concatenate([[0.0], single[flat[:-1]]])
-        context[starts] = end_count  # as many texts begin as end
         pairs, inverse = np.unique(_pair(before, tokens), return_inverse=True)
+        del tokens, before
         both = filt.counts(pairs, 2)[inverse]
-        p1 = (single[flat] + 1) / (total + distinct + 1.0)
-        logs = np.log10((np.minimum(both, np.maximum(context, single[flat])) + mu * p1) / (np.maximum(context, both) + mu))
+        del pairs, inverse
+        own = single[flat]
+        context = np.concatenate([[0.0], own[:-1]])
+        context[starts] = end_count  # as many texts begin as end
+        logs = np.log10((np.minimum(both, np.maximum(context, own)) + mu * (own + 1) / (total + distinct + 1.0)) / (np.maximum(context, both) + mu))
+        logs = np.add.reduceat(logs, starts)
         return pa.table(
             {
                 "doc_id": pa.array(ids, mask=nulls), "train": pa.array(is_train), "n_tokens": pa.array(lens), "n_known": pa.array(known),
-                "train_tokens": pa.array(np.full(n, total)), "base_score": pa.array(np.add.reduceat(base_log, starts)), "score": pa.array(np.add.reduceat(logs, starts)),
+                "train_tokens": pa.array(np.full(n, total)), "base_score": pa.array(base_log), "score": pa.array(logs),
             }
         )
 
@@ -235,10 +246,6 @@ def score_documents(
     return table.where("kind in (0, 3)").groupBy("chunk").applyInArrow(score, RESULT)
 
 
-def _hashes(rows: list) -> np.ndarray:
-    return np.concatenate([unpack_sorted(r[2]) for r in sorted(r for r in rows if r[1] == 3)])
-
-
 _OPEN: dict = {}
 
 
@@ -246,6 +253,6 @@ def _opened(model, hashes: int, base: float):
     """A worker opens the filter once."""
     key = id(model.value)
     if _OPEN.get("key") != key:
-        slices, total, distinct = model.value
-        _OPEN.update(key=key, value=(LogFrequencyFilter(slices, hashes, base), total, distinct))
+        joined, lengths, total, distinct = model.value
+        _OPEN.update(key=key, value=(LogFrequencyFilter(joined, lengths, hashes, base), total, distinct))
     return _OPEN["value"]

@@ -152,7 +152,7 @@ def test_filter_counts():
     keys, counts = np.sort(mix(np.arange(20_000, dtype=np.uint64)) >> np.uint64(16)), np.tile([1, 2, 3, 100], 5000)
     edges = [0, *np.searchsorted(keys, [np.uint64((i << 48) // 4) for i in range(1, 4)]), len(keys)]
     slices = [LogFrequencyFilter.slice_of([(2, keys[a:b], counts[a:b])], 4, 1.5, 6.0, 1 << 30) for a, b in zip(edges, edges[1:])]
-    f = LogFrequencyFilter(slices, 4, 1.5)
+    f = LogFrequencyFilter(b"".join(slices), [len(x) for x in slices], 4, 1.5)
     got = f.counts(keys, 2)
     assert (got >= f.value[f.level(counts, 1.5)]).all() and np.mean(got == f.value[f.level(counts, 1.5)]) > 0.85
     assert np.mean(f.counts(mix(keys, 9) >> np.uint64(16), 2) > 0) < 0.12
