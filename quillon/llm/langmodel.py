@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.exchange import ROW, shard_cuts, summed
 from quillon.llm.shared import width, written
-from quillon.llm.text import WordCoder, in_chunks, mix, pack, pack_sorted, unpack, unpack_sorted, words
+from quillon.llm.text import WordCoder, in_chunks, mix, pack, pack_sorted, release, unpack, unpack_sorted, words
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -105,6 +105,7 @@ def _middle(level: int, base: float) -> float:
 
 def _chunks(chunk_bytes: int, shards: int):
     def run(batches):
+        _OPEN.clear()  # an earlier query's filter
         task, seq = TaskContext.get().partitionId(), 0
         for ids, texts, train in in_chunks(batches, chunk_bytes):
             coder = WordCoder()
@@ -143,8 +144,11 @@ def _chunks(chunk_bytes: int, shards: int):
                 a, b = cuts[s], cuts[s + 1]
                 if b > a:
                     out.append((chunk, s, 2, pack(n[a:b]), pack_sorted(pairs[a:b])))
+            del coder, codes, tokens, before, pairs, n, flat, h
             for at in range(0, len(out), 64):
                 yield _rows(out[at : at + 64])
+            del out
+            release()
 
     return run
 
@@ -157,6 +161,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _shard(hashes: int, base: float, bits_per_level: float, max_bytes: int):
     def run(table: pa.Table) -> pa.Table:
+        _OPEN.clear()
         rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "shard", "kind", "head", "body")), strict=True))
         del table
         shard = rows[0][1]
@@ -173,6 +178,8 @@ def _shard(hashes: int, base: float, bits_per_level: float, max_bytes: int):
         grams.append((2, keys, n))
         part = LogFrequencyFilter.slice_of(grams, hashes, base, bits_per_level, max_bytes)
         out.append((-1, shard, 4, np.array([total, distinct], np.int64).tobytes(), part))
+        del grams, keys, n, rows
+        release()
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -235,6 +242,8 @@ def score_documents(
         context[starts] = end_count  # as many texts begin as end
         logs = np.log10((np.minimum(both, np.maximum(context, own)) + mu * (own + 1) / (total + distinct + 1.0)) / (np.maximum(context, both) + mu))
         logs = np.add.reduceat(logs, starts)
+        del both, own, context, counts, hashes_of, single, flat
+        release()
         return pa.table(
             {
                 "doc_id": pa.array(ids, mask=nulls), "train": pa.array(is_train), "n_tokens": pa.array(lens), "n_known": pa.array(known),

@@ -135,11 +135,24 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(f"<u{w}").ravel().astype(np.int64 if w < 8 else np.uint64)
 
 
+def release() -> None:
+    """Gives memory that was freed back to the system, so that a worker kept for later tasks stays small."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def in_chunks(batches, size: int, of=lambda row: len(row or b""), column: int = 1) -> Iterator[list[list]]:
     """Lists of columns gathered from Arrow batches until about ``size`` bytes of text (a longer row stays whole)."""
     held: list[list] | None = None
     n = 0
-    for batch in batches:
+    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
         cols = [c.to_pylist() for c in batch.columns]
         if held is None:
             held = [[] for _ in cols]
