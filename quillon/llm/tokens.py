@@ -14,8 +14,10 @@ gives empty tables.  Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,46 +87,82 @@ def decode_planes(payload: bytes, start: int = 0, stop: int | None = None) -> np
     return ids[start - first * block : stop - first * block]
 
 
+#: ASCII punctuation that no contraction begins with: at a piece's end, after a letter or digit, it is a token run of its own.
+_TAIL = b".,;:!?|%$&*#)]}>=-_+~^/@\"\\"
+_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
 class PieceEncoder:
     """Encodes by white-space separated pieces, each distinct piece once.
 
-    It fits tokenizers that treat such pieces independently (see ``splits_at_space``).  ``keep`` bounds the pieces that
-    stay in memory; others are encoded anew in each batch.
+    It fits tokenizers that treat such pieces independently (see ``splits_at_space``).  A new piece is taken apart further where that is certain to give the
+    same ids: trailing punctuation after an ASCII letter or digit, and case where all is ASCII.  ``keep`` bounds the pieces, and the parts, that stay in memory; others are
+    encoded anew in each batch.
     """
 
-    def __init__(self, tokenizer, keep: int = 400_000) -> None:
+    def __init__(self, tokenizer, keep: int = 900_000) -> None:
         self.tokenizer, self.keep = tokenizer, keep
+        #: A piece's code gives its two parts' codes; a part's code gives its ids in ``flat``. Part 0 is empty.
         self.codes: dict[bytes, int] = {}
-        self.flat, self.ends = np.empty(0, np.uint32), np.empty(0, np.int64)
-
-    def _add(self, codes: dict, flat: np.ndarray, ends: np.ndarray, new: list[bytes]):
-        got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        lens = np.fromiter((len(e.ids) for e in got), np.int64, len(got))
-        ids = np.fromiter((i for e in got for i in e.ids), np.uint32, int(lens.sum()))
-        codes.update(zip(new, range(len(codes), len(codes) + len(new)), strict=True))
-        return np.concatenate([flat, ids]), np.concatenate([ends, np.cumsum(lens) + len(flat)])
+        self.pairs = np.empty((0, 2), np.int64)
+        self.parts: dict[bytes, int] = {b"": 0}
+        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(2, np.int64)
+
+    @staticmethod
+    def split(piece: bytes) -> tuple[bytes, bytes]:
+        if b"<|" in piece:
+            return piece, b""
+        core = piece.rstrip(_TAIL)
+        tail = piece[len(core) :]
+        if tail and (not core or core[-1] not in _ALNUM):
+            core, tail = piece, b""
+        return (core.lower() if core.isascii() else core), tail
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of each text. The collector would walk the dictionaries again and again for the many small lists made here."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         pieces = [t.split() if t else [] for t in texts]
-        every = [w for p in pieces for w in p]
-        new = list(dict.fromkeys(w for w in every if w not in self.codes))
-        if len(self.codes) + len(new) <= self.keep:
-            if new:
-                self.flat, self.ends = self._add(self.codes, self.flat, self.ends, new)
-            codes, flat, ends = self.codes, self.flat, self.ends
-        else:
-            room = max(0, self.keep - len(self.codes))
-            if room:
-                self.flat, self.ends = self._add(self.codes, self.flat, self.ends, new[:room])
-            codes = dict(self.codes)
-            flat, ends = self._add(codes, self.flat, self.ends, new[room:])
-        c = np.fromiter(map(codes.__getitem__, every), np.int64, len(every))
-        stop = ends[c]
-        start = np.where(c > 0, ends[c - 1], 0) if len(c) else stop
-        lens = stop - start
+        every = list(chain.from_iterable(pieces))
+        codes = list(map(self.codes.get, every))
+        pairs, flat, ends = self.pairs, self.flat, self.ends
+        if None in codes:
+            new: dict[bytes, int] = {}
+            base = len(pairs)
+            for i, code in enumerate(codes):
+                if code is None:
+                    codes[i] = new.setdefault(every[i], base + len(new))
+            split = list(chain.from_iterable(map(self.split, new)))
+            of = list(map(self.parts.get, split))
+            fresh: dict[bytes, int] = {}
+            at = len(ends) - 1
+            for i, code in enumerate(of):
+                if code is None:
+                    of[i] = fresh.setdefault(split[i], at + len(fresh))
+            if fresh:
+                got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh], add_special_tokens=False)
+                ids = [e.ids for e in got]
+                flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+                ends = np.concatenate([ends, ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+            pairs = np.concatenate([pairs, np.array(of, np.int64).reshape(-1, 2)])
+            #: Both tables are kept or neither, as pieces point to parts.
+            if len(self.codes) + len(new) <= self.keep and len(self.parts) + len(fresh) <= self.keep:
+                self.codes.update(new)
+                self.parts.update(fresh)
+                self.pairs, self.flat, self.ends = pairs, flat, ends
+        c = pairs[np.fromiter(codes, np.int64, len(codes))].ravel()
+        start = ends[c]
+        lens = ends[c + 1] - start
         total = np.concatenate([[0], np.cumsum(lens)])
         ids = flat[np.arange(total[-1]) + np.repeat(start - total[:-1], lens)] if len(c) else flat[:0]
-        cuts = total[np.cumsum([0] + [len(p) for p in pieces])]
+        cuts = total[2 * np.cumsum([0] + [len(p) for p in pieces])]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
