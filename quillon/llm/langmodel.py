@@ -4,12 +4,12 @@ Counts of words and word pairs over all training rows are quantised to levels, l
 q is put into a Bloom filter q times, once a level.  A count is read by probing level 1, 2, ... until one is missing; false hits only
 raise it, each further level with a probability smaller by the filter's error rate.  The filter is cut into slices by the hash of a gram; a shard
 of the counting exchange (see ``exchange``) builds its own slice, so no gram ever reaches the driver.  Slices are sized for
-``bits_per_level`` bits an entry and together never exceed ``max_bytes``, the bound of what is broadcast; a corpus that would need more gets a
-higher error rate, not fewer grams.
+``bits_per_level`` bits an entry whatever the corpus, so the error rate does not grow with it, and they never leave their shard: a chunk sends all
+its words and word pairs, also those of rows not to learn from, and the shard answers with the levels that its slice gives them.
 
 P(w | u) = (c(u w) + mu * P(w)) / (c(u) + mu),  P(w) = (c(w) + 1) / (N + V + 1), with counts c from the filter.
 
-Exact word counts for the add-one baseline come from the same exchange: shards answer each chunk with the counts of its words.
+Exact word counts for the add-one baseline come with the same answers.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased and every text ends with one end token. A null or empty text is its end token; rows may
 repeat; ``train`` marks training rows (null: not). Without training rows N and V are 0. An empty table gives no rows.
@@ -51,7 +51,7 @@ class LogFrequencyFilter:
         sizes = np.array(lengths, np.uint64) * np.uint64(8)
         self.sizes, self.bases = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64)
         self.bits = np.frombuffer(slices, np.uint8)
-        self.value = np.array([0.0] + [_middle(j, base) for j in range(1, 65)])
+        self.value = level_values(base)
 
     @staticmethod
     def level(counts: np.ndarray, base: float) -> np.ndarray:
@@ -62,11 +62,13 @@ class LogFrequencyFilter:
         return mix(keys, (order << 20) | (level << 4) | i)
 
     @classmethod
-    def slice_of(cls, grams: list[tuple[int, np.ndarray, np.ndarray]], hashes: int, base: float, bits_per_level: float, max_bytes: int) -> bytes:
-        """The slice that holds (order, keys, counts)."""
+    def slice_of(cls, grams: list[tuple[int, np.ndarray, np.ndarray]], hashes: int, base: float, bits_per_level: float, max_bytes: int | None = None) -> bytes:
+        """The slice that holds (order, keys, counts), of ``bits_per_level`` bits an entry unless ``max_bytes`` is less."""
         levels = [(order, keys, cls.level(counts, base)) for order, keys, counts in grams]
         entries = sum(int(q.sum()) for _, _, q in levels)
-        n_bytes = max(8, min(max_bytes, math.ceil(entries * bits_per_level / 8)))
+        n_bytes = max(8, math.ceil(entries * bits_per_level / 8))
+        if max_bytes is not None:
+            n_bytes = min(max_bytes, n_bytes)
         bits = np.zeros(n_bytes * 8, bool)
         m = np.uint64(n_bytes * 8)
         for order, keys, q in levels:
@@ -76,10 +78,14 @@ class LogFrequencyFilter:
                     bits[cls.probes(keys, order, level, i) % m] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
-    def counts(self, keys: np.ndarray, order: int, block: int = 1 << 18) -> np.ndarray:
-        """Estimated counts: the middle of the highest level up to which all probes hit. Keys are probed in blocks."""
+    def counts(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """Estimated counts: the middle of the level."""
+        return self.value[self.levels(keys, order)]
+
+    def levels(self, keys: np.ndarray, order: int, block: int = 1 << 18) -> np.ndarray:
+        """The highest level up to which all probes hit. Keys are probed in blocks."""
         if len(keys) > block:
-            return np.concatenate([self.counts(keys[a : a + block], order) for a in range(0, len(keys), block)])
+            return np.concatenate([self.levels(keys[a : a + block], order) for a in range(0, len(keys), block)])
         shard = np.searchsorted(self.edges, keys, "right")
         size, base = self.sizes[shard], self.bases[shard]
         level, at = np.zeros(len(keys), np.int64), np.arange(len(keys))
@@ -94,7 +100,7 @@ class LogFrequencyFilter:
                 break
             level[live] = q
             at = live
-        return self.value[level]
+        return level
 
 
 def _middle(level: int, base: float) -> float:
@@ -103,9 +109,13 @@ def _middle(level: int, base: float) -> float:
     return (low + high) / 2 if high >= low else base ** (level - 0.5)
 
 
+def level_values(base: float) -> np.ndarray:
+    """The count that each level stands for."""
+    return np.array([0.0] + [_middle(j, base) for j in range(1, 65)])
+
+
 def _chunks(chunk_bytes: int, shards: int):
     def run(batches):
-        _OPEN.clear()  # an earlier query's filter
         task, seq = TaskContext.get().partitionId(), 0
         for ids, texts, train in in_chunks(batches, chunk_bytes):
             coder = WordCoder()
@@ -138,13 +148,14 @@ def _chunks(chunk_bytes: int, shards: int):
             tokens = h[flat]
             before = np.concatenate([[START], tokens[:-1]])
             before[np.concatenate([[0], np.cumsum(lens)[:-1]])] = START
-            pairs, n = np.unique(_pair(before, tokens)[counted], return_counts=True)
+            pairs, inverse = np.unique(_pair(before, tokens), return_inverse=True)
+            n = np.bincount(inverse[counted], minlength=len(pairs))
             cuts = shard_cuts(pairs, 48, shards)
             for s in range(shards):
                 a, b = cuts[s], cuts[s + 1]
                 if b > a:
                     out.append((chunk, s, 2, pack(n[a:b]), pack_sorted(pairs[a:b])))
-            del coder, codes, tokens, before, pairs, n, flat, h
+            del coder, codes, tokens, before, pairs, inverse, n, flat, h
             for at in range(0, len(out), 64):
                 yield _rows(out[at : at + 64])
             del out
@@ -159,26 +170,32 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["chunk", "shard", "kind", "head", "body"])
 
 
-def _shard(hashes: int, base: float, bits_per_level: float, max_bytes: int):
+def _shard(hashes: int, base: float, bits_per_level: float):
+    """A shard's slice of the filter, asked at once: to each chunk the counts and levels of its words and the levels of its pairs."""
+
     def run(table: pa.Table) -> pa.Table:
-        _OPEN.clear()
         rows = list(zip(*(table.column(c).to_pylist() for c in ("chunk", "shard", "kind", "head", "body")), strict=True))
         del table
         shard = rows[0][1]
         out = [r for r in rows if r[2] == 0]
-        uni = [(r[0], unpack_sorted(r[4]), unpack(r[3]), r[4]) for r in rows if r[2] == 1]
-        h, c = summed([x[1:3] for x in uni])
-        for chunk, own, _, body in uni:
-            out.append((chunk, shard, 3, body, pack(c[np.searchsorted(h, own)])))
-        known = c > 0
-        grams = [(1, h[known] >> _KEY, c[known])]
-        total, distinct = int(c.sum()), int(known.sum())
-        del uni, h, c
-        keys, n = summed([(unpack_sorted(r[4]), unpack(r[3])) for r in rows if r[2] == 2])
-        grams.append((2, keys, n))
-        part = LogFrequencyFilter.slice_of(grams, hashes, base, bits_per_level, max_bytes)
-        out.append((-1, shard, 4, np.array([total, distinct], np.int64).tobytes(), part))
-        del grams, keys, n, rows
+        uni, two = [r for r in rows if r[2] == 1], [r for r in rows if r[2] == 2]
+        del rows
+        h, c = summed([(unpack_sorted(r[4]), unpack(r[3])) for r in uni])
+        keys, n = summed([(unpack_sorted(r[4]), unpack(r[3])) for r in two])
+        known, met = c > 0, n > 0
+        out.append((-1, shard, 4, np.array([int(c.sum()), int(known.sum())], np.int64).tobytes(), b""))
+        part = LogFrequencyFilter.slice_of([(1, h[known] >> _KEY, c[known]), (2, keys[met], n[met])], hashes, base, bits_per_level)
+        filt = LogFrequencyFilter(part, [len(part)], hashes, base)
+        del n, known, met
+        level = filt.levels(h >> _KEY, 1)
+        for r in uni:
+            at = np.searchsorted(h, unpack_sorted(r[4]))
+            counts = pack(c[at])
+            out.append((r[0], shard, 3, r[4], len(counts).to_bytes(4, "little") + counts + pack(level[at])))
+        level = filt.levels(keys, 2).astype(np.uint8)
+        for r in two:
+            out.append((r[0], shard, 5, b"", pack(level[np.searchsorted(keys, unpack_sorted(r[4]))])))
+        del uni, two, h, c, keys, level, filt, part
         release()
         return pa.Table.from_batches([_rows(out)])
 
@@ -192,7 +209,6 @@ def score_documents(
     hashes: int = 4,
     base: float = 1.5,
     bits_per_level: float = 6.0,
-    max_bytes: int = 96 << 20,
     mu: float = 16.0,
 ) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text); ``train`` is a boolean column of it that marks the rows to learn from."""
@@ -200,19 +216,14 @@ def score_documents(
     shards = width(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     sent = rows.mapInArrow(_chunks(chunk_bytes, shards), ROW)
-    table = written(sent.groupBy("shard").applyInArrow(_shard(hashes, base, bits_per_level, max_bytes // shards), ROW), "lm-counts")
-    slices: list[bytes] = [b"\0" * 8] * shards
-    n_train = n_distinct = 0
-    for r in table.where("kind = 4").select("shard", "head", "body").collect():
-        slices[r.shard] = bytes(r.body)
+    table = written(sent.groupBy("shard").applyInArrow(_shard(hashes, base, bits_per_level), ROW), "lm-counts")
+    total = distinct = 0
+    for r in table.where("kind = 4").select("head").collect():
         a, b = np.frombuffer(r.head, np.int64)
-        n_train, n_distinct = n_train + int(a), n_distinct + int(b)
-    lengths, joined = [len(s) for s in slices], b"".join(slices)
-    del slices
-    model = spark.sparkContext.broadcast((joined, lengths, n_train, n_distinct))
+        total, distinct = total + int(a), distinct + int(b)
+    value = level_values(base)
 
     def score(part: pa.Table) -> pa.Table:
-        filt, total, distinct = _opened(model, hashes, base)
         rows = list(zip(*(part.column(c).to_pylist() for c in ("shard", "kind", "head", "body")), strict=True))
         del part
         meta, body = next((r[2], r[3]) for r in rows if r[1] == 0)
@@ -220,23 +231,25 @@ def score_documents(
         nulls, is_train = np.frombuffer(meta, np.uint8, n, 8).astype(bool), np.frombuffer(meta, np.uint8, n, 8 + n).astype(bool)
         ids = np.frombuffer(meta[8 + 2 * n : 8 + 10 * n], np.int64)
         lens, flat = unpack(meta[8 + 10 * n :]), unpack(body).astype(np.int32)
-        answers = sorted(r for r in rows if r[1] == 3)
+        answers, levels = sorted(r for r in rows if r[1] == 3), sorted(r for r in rows if r[1] == 5)
         del rows, body
-        counts, hashes_of = np.concatenate([unpack(r[3]) for r in answers]), np.concatenate([unpack_sorted(r[2]) for r in answers])
-        del answers
+        hashes_of = np.concatenate([unpack_sorted(r[2]) for r in answers])
+        cut = [int.from_bytes(r[3][:4], "little") + 4 for r in answers]
+        counts = np.concatenate([unpack(r[3][4:k]) for r, k in zip(answers, cut, strict=True)])
+        single = value[np.concatenate([unpack(r[3][k:]) for r, k in zip(answers, cut, strict=True)])]
+        both = value[np.concatenate([unpack(r[3]) for r in levels])]
+        del answers, levels
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
         #: Everything that depends on a word alone is worked out once a word of the chunk.
         base_log = np.add.reduceat(np.log10((counts + 1) / (total + distinct + 1.0))[flat], starts)
         known = np.add.reduceat((counts > 0)[flat].astype(np.int64), starts)
-        single = filt.counts(hashes_of >> _KEY, 1)
-        end_count = filt.counts(np.array([END >> _KEY], np.uint64), 1)[0]
+        end_count = single[np.searchsorted(hashes_of, END)]
         tokens = hashes_of[flat]
         before = np.concatenate([[START], tokens[:-1]])
         before[starts] = START
-        pairs, inverse = np.unique(_pair(before, tokens), return_inverse=True)
+        #: Shards answer for ranges of ascending pairs, so their answers follow each other as the chunk's distinct pairs do.
+        both = both[np.unique(_pair(before, tokens), return_inverse=True)[1]]
         del tokens, before
-        both = filt.counts(pairs, 2)[inverse]
-        del pairs, inverse
         own = single[flat]
         context = np.concatenate([[0.0], own[:-1]])
         context[starts] = end_count  # as many texts begin as end
@@ -251,17 +264,5 @@ def score_documents(
             }
         )
 
-    #: A chunk's words come back from the shards as counts, in the order of shards; the words themselves come with them.
-    return table.where("kind in (0, 3)").groupBy("chunk").applyInArrow(score, RESULT)
-
-
-_OPEN: dict = {}
-
-
-def _opened(model, hashes: int, base: float):
-    """A worker opens the filter once."""
-    key = id(model.value)
-    if _OPEN.get("key") != key:
-        joined, lengths, total, distinct = model.value
-        _OPEN.update(key=key, value=(LogFrequencyFilter(joined, lengths, hashes, base), total, distinct))
-    return _OPEN["value"]
+    #: A chunk's words come back from the shards as counts and levels, in the order of shards; the words themselves come with them.
+    return table.where("kind in (0, 3, 5)").groupBy("chunk").applyInArrow(score, RESULT)
