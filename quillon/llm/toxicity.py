@@ -1,15 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-* Terms: the words of the labelled sample that tell its classes apart, by the log-likelihood ratio; at most ``max_terms``.
-* Weights: (1 + log tf) * idf, with document frequencies counted over *all* documents, normalised to length 1.
-* Index: examples in blocks of ``block`` rows; each term keeps its largest weight in each block. A query bounds every block by those maxima,
-  scores the most promising ones exactly, and then every block whose bound reaches the k-th best cosine so far: no
-  neighbour is missed.
+* Terms: all words of the labelled sample.
+* Weights: (1 + log tf) * idf * evidence, normalised to length 1. Document frequencies are counted over *all* documents; the evidence of a word is the
+  absolute log-ratio of its smoothed rates in the two classes, so words that both classes use alike count little, and none is left out.
+* Index: postings by term for words in at most one of ``spread`` examples; the others, few, are kept as a matrix, and examples lie in blocks of ``block``
+  rows in which each of these terms keeps its largest weight. A query adds up the postings exactly, bounds the rest of every row by its block's maxima, and
+  scores exactly each row whose bound reaches the k-th best cosine so far: no neighbour is missed.
 * Votes: neighbours vote with their cosine; a logistic curve fitted to leave-one-out votes of the sample (weighted back to
   the labelled population) turns votes into probabilities.
 
 The sample: at most ``max_examples`` labelled rows of each class, those with the least hash; it bounds the index, which is
-broadcast (``max_examples`` * 2 rows of at most ``max_terms`` weights each).  Everything else covers whole texts of all rows.
+broadcast (the words of ``max_examples`` * 2 rows).  Everything else covers whole texts of all rows.
 
 A text without known terms, also null and empty ones, gets the fitted probability of a vote of zero.  Repeated rows are
 scored alike; ties between neighbours are broken by the example's position.  Without labelled rows of both classes the score is the share of
@@ -38,67 +39,78 @@ class ToxicityModel:
     idf: np.ndarray = field(default_factory=lambda: np.empty(0))
     label: np.ndarray = field(default_factory=lambda: np.empty(0))
     example_id: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    maxima: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+    spread: int = 16
     start: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     row: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
-    weight: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
+    weight: np.ndarray = field(default_factory=lambda: np.empty(0))
+    common: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    matrix: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+    maxima: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
     slope: float = 0.0
     offset: float = 0.0
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        known = sorted((t, c) for w, c in counts.items() if (t := self.terms.get(w)) is not None)
-        if not known:
-            return np.empty(0, np.int64), np.empty(0)
-        t = np.array([x[0] for x in known])
-        w = (1 + np.log([x[1] for x in known])) * self.idf[t]
+        found = list(map(self.terms.get, counts))
+        c = np.array([x for x, t in zip(counts.values(), found, strict=True) if t is not None], np.int64)
+        t = np.array([t for t in found if t is not None], np.int64)
+        order = np.argsort(t)
+        return self.weighted(t[order], c[order])
+
+    def weighted(self, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of ascending terms and their counts."""
+        w = (1 + np.log(c)) * self.idf[t]
+        t, w = t[w > 0], w[w > 0]
         return t, w / np.sqrt((w * w).sum())
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        n_blocks, n_terms = -(-len(vectors) // self.block), len(self.idf)
-        row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        n, n_terms = len(vectors), len(self.idf)
+        row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors])
-        self.maxima = np.zeros((n_terms, n_blocks), np.float32)
-        np.maximum.at(self.maxima, (term, row // self.block), np.nextafter(weight.astype(np.float32), np.float32(2)))
-        #: Postings by block, then term: start[b * n_terms + t].
-        key = row // self.block * n_terms + term
-        order = np.lexsort((row, key))
-        self.row, self.weight = row[order].astype(np.int32), weight[order].astype(np.float64)
-        self.start = np.searchsorted(key[order], np.arange(n_blocks * n_terms + 1))
-
-    def _score(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact cosines of all examples of some blocks."""
-        cell = (blocks[:, None] * len(self.idf) + t).ravel()
-        a, lens = self.start[cell], self.start[cell + 1] - self.start[cell]
-        total = int(lens.sum())
-        at = np.arange(total) + np.repeat(a - np.cumsum(lens) + lens, lens)
-        place = np.full(self.maxima.shape[1], -1)
-        place[blocks] = np.arange(len(blocks))
-        rows = self.row[at]
-        local = place[rows // self.block] * self.block + rows % self.block
-        scores = np.bincount(local, self.weight[at] * np.repeat(np.tile(w, len(blocks)), lens), len(blocks) * self.block)
-        ids = (blocks[:, None] * self.block + np.arange(self.block)).ravel()
-        real = ids < len(self.label)
-        return ids[real], scores[real]
+        often = self.often(term, n)
+        self.common = np.where(often, np.cumsum(often) - 1, -1)
+        self.matrix = np.zeros((n, int(often.sum())))
+        dense = often[term]
+        self.matrix[row[dense], self.common[term[dense]]] = weight[dense]
+        edges = np.arange(0, n, self.block)
+        tops = np.maximum.reduceat(self.matrix, edges).astype(np.float32)
+        self.maxima = np.ascontiguousarray(np.nextafter(tops, np.float32(2), where=tops > 0, out=np.zeros_like(tops)).T)
+        row, term, weight = row[~dense], term[~dense], weight[~dense]
+        order = np.lexsort((row, term))
+        self.row, self.weight = row[order].astype(np.int32), weight[order]
+        self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
+
+    def often(self, term: np.ndarray, n: int) -> np.ndarray:
+        """Terms in more than one of ``spread`` of the ``n`` examples that ``term`` lists the terms of."""
+        return np.bincount(term, minlength=len(self.idf)) * self.spread > n
+
+    def _whole(self, ids: np.ndarray, scores: np.ndarray, place: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Exact cosines of some examples, from what their postings add up to."""
+        return scores[ids] + self.matrix[ids[:, None], place] @ near
 
     def neighbours(self, t: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine over 0, best first."""
         if not len(t) or not len(self.label):
             return np.empty(0, np.int64), np.empty(0)
-        bounds = w @ self.maxima[t]
-        order = np.argsort(-bounds, kind="stable")
-        first = order[: max(2, -(-2 * self.k // self.block))]
-        ids, scores = self._score(first, t, w)
+        place = self.common[t]
+        rare, far = t[place < 0], w[place < 0]
+        place, near = place[place >= 0], w[place >= 0]
+        a, lens = self.start[rare], self.start[rare + 1] - self.start[rare]
+        at = np.arange(int(lens.sum())) + np.repeat(a - np.cumsum(lens) + lens, lens)
+        scores = np.bincount(self.row[at], self.weight[at] * np.repeat(far, lens), len(self.label))
         if but >= 0:
-            scores[ids == but] = -1
-        kth = np.partition(scores, -self.k)[-self.k] if len(scores) >= self.k else 0.0
-        rest = order[len(first) :]
-        rest = rest[bounds[rest] >= max(kth, 1e-12)]
-        if len(rest):
-            more, more_scores = self._score(rest, t, w)
-            if but >= 0:
-                more_scores[more == but] = -1
-            ids, scores = np.concatenate([ids, more]), np.concatenate([scores, more_scores])
+            scores[but] = -2
+        ids = np.flatnonzero(scores > 0)
+        if len(place):
+            bounds = scores + np.repeat(near @ self.maxima[place], self.block)[: len(scores)]
+            some = min(2 * self.k, len(scores))
+            first = np.argpartition(-bounds, some - 1)[:some]
+            found = self._whole(first, scores, place, near)
+            kth = np.partition(found, -self.k)[-self.k] if len(found) >= self.k else 0.0
+            ids = np.flatnonzero(bounds >= max(kth - 1e-9, 1e-12))
+            scores = self._whole(ids, scores, place, near)
+        else:
+            scores = scores[ids]
         if len(scores) > self.k:
             kth = np.partition(scores, -self.k)[-self.k]
             ids, scores = ids[scores >= kth], scores[scores >= kth]
@@ -138,40 +150,27 @@ def document_frequency(docs: DataFrame, vocabulary: list[bytes]) -> tuple[np.nda
         for batch in batches:
             for text in batch.column(0):
                 n += 1
-                for w in known & set(words(text.as_py())):
-                    counts[at[w]] += 1
+                counts[[at[w] for w in known & set(words(text.as_py()))]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(counts), -1), pa.int32()), pa.array(np.append(counts[counts > 0], n), pa.int64())], ["term", "n"])
 
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    def packed(batches):
+        for batch in batches:
+            term, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (term.astype(np.int32), n.astype(np.int64))], ["term", "n"])
+
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df, total = np.zeros(len(vocabulary), np.int64), 0
-    for r in rows:
-        if r.term >= 0:
-            df[r.term] = r.n
-        else:
-            total = r.n
+    for r in rows.mapInArrow(packed, "term binary, n binary").collect():
+        term, n = np.frombuffer(r.term, np.int32), np.frombuffer(r.n, np.int64)
+        df[term[term >= 0]] = n[term >= 0]
+        total += int(n[term < 0].sum())
     return df, total
 
 
-def _informative(sample: list[Counter], label: np.ndarray, max_terms: int, min_rows: int, least: float) -> list[bytes]:
-    """Words whose presence differs between the classes by a log-likelihood ratio of ``least`` or more, the most telling first."""
-    seen = [Counter(), Counter()]
-    for counts, y in zip(sample, label, strict=True):
-        seen[int(y)].update(counts.keys())
-    n = [max(1, int((label == y).sum())) for y in (0, 1)]
-    scored = []
-    for w in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][w], seen[0][w]
-        if a + b < min_rows:
-            continue
-        p = (a + b) / (n[0] + n[1])
-        g = 0.0
-        for x, m in ((a, n[1]), (b, n[0])):
-            for o, q in ((x, p), (m - x, 1 - p)):
-                if o:
-                    g += 2 * o * np.log(o / (m * q))
-        if g >= least:
-            scored.append((-g, w))
-    return [w for _, w in sorted(scored)[:max_terms]]
+def _evidence(term: np.ndarray, label: np.ndarray, n_terms: int, classes: tuple[int, int]) -> np.ndarray:
+    """Absolute log-ratios of the smoothed rates at which the rows of the two classes hold each term. term, label: one entry a term of a row."""
+    rates = [np.log((np.bincount(term[label == y], minlength=n_terms) + 1) / (classes[y] + 2)) for y in (0, 1)]
+    return np.abs(rates[1] - rates[0])
 
 
 def fit(
@@ -181,26 +180,37 @@ def fit(
     k: int = 15,
     block: int = 64,
     max_examples: int = 4000,
-    max_terms: int = 4096,
-    min_rows: int = 4,
-    least: float = 30.0,
+    min_rows: int = 1,
+    least: float = 0.0,
 ) -> ToxicityModel:
-    """The model from ``labels`` (doc_id, ``label`` 0/1); rows of other labels are ignored."""
+    """The model from ``labels`` (doc_id, ``label`` 0/1); rows of other labels are ignored.
+
+    Words of fewer than ``min_rows`` examples or less than ``least`` evidence weigh nothing; by default there are none.
+    """
     sample, classes = labelled_sample(docs, labels, label, max_examples)
-    counts = [Counter(words(t)) for _, t, _ in sample]
     y = np.array([s[2] for s in sample], np.float64)
     model = ToxicityModel(k, block, label=y, example_id=np.array([s[0] for s in sample], np.int64))
     if len(set(y)) < 2:
         model.offset = 30.0 if len(y) and y[0] else -30.0
         model.label = np.empty(0)
         return model
-    vocabulary = _informative(counts, y, max_terms, min_rows, least)
-    df, n = document_frequency(docs, vocabulary)
-    model.terms = {w: i for i, w in enumerate(vocabulary)}
-    model.idf = np.log((1 + n) / (1 + df)) + 1
-    vectors = [model.vector(c) for c in counts]
-    #: Examples that share their strongest term lie in the same blocks, so bounds are tight.
-    order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, i))
+    terms: dict[bytes, int] = {}
+    counts = []
+    for _, text, _ in sample:
+        counts.append(np.unique(np.array([terms.setdefault(w, len(terms)) for w in words(text)], np.int64), return_counts=True))
+    df, n = document_frequency(docs, list(terms))
+    model.terms = terms
+    every, owner = np.concatenate([t for t, _ in counts]), np.repeat(np.arange(len(counts)), [len(t) for t, _ in counts])
+    #: Evidence is a factor of idf, so a weight is one number a term.
+    evidence = _evidence(every, y[owner], len(terms), (int((y == 0).sum()), int((y == 1).sum())))
+    evidence[(np.bincount(every, minlength=len(terms)) < min_rows) | (evidence < least)] = 0.0
+    model.idf = (np.log((1 + n) / (1 + df)) + 1) * evidence
+    vectors = [model.weighted(t, c) for t, c in counts]
+    #: Examples that share their strongest common term lie in the same blocks, so bounds are tight.
+    often = model.often(every, len(counts))
+    strongest = [int(t[often[t]][np.argmax(w[often[t]])]) if often[t].any() else -1 for t, w in vectors]
+    order = sorted(range(len(vectors)), key=lambda i: (strongest[i], i))
+    del counts, every, owner
     vectors = [vectors[i] for i in order]
     model.label, model.example_id = y[order], model.example_id[order]
     if not any(len(t) for t, _ in vectors):
@@ -239,14 +249,10 @@ def score(docs: DataFrame, model: ToxicityModel, evidence: int = 3, keep_text: b
 
     def run(batches):
         m = shared.value
-        known = m.terms.keys()
         for batch in batches:
             scores, near = [], []
             for text in batch.column("text").cast(pa.binary()):
-                w = words(text.as_py())
-                few = known & set(w)
-                counts = Counter(x for x in w if x in few) if few else Counter()
-                ids, cosines = m.neighbours(*m.vector(counts))
+                ids, cosines = m.neighbours(*m.vector(Counter(words(text.as_py()))))
                 scores.append(m.probability(m.vote(ids, cosines)))
                 near.append([{"doc_id": int(m.example_id[i]), "cosine": float(c), "label": int(m.label[i])} for i, c in zip(ids[:evidence], cosines[:evidence], strict=True)])
             kept = [i for i, name in enumerate(batch.schema.names) if keep_text or name != "text"]

@@ -39,3 +39,21 @@ def test_language_model_gathers_nothing_that_grows(spark, monkeypatch):
             want += np.log10((min(both, max(context, own)) + 16 * (own + 1) / (n + v + 1)) / (max(context, both) + 16))
         gaps.append(abs(got[i].score - want) / abs(want))
     assert np.mean(gaps) < 0.03
+
+
+def test_toxicity_indexes_all_words(spark):
+    """Every word of the labelled rows is a term, so that a document that shares one has neighbours; 0.8 of the toxic rows go."""
+    import corpus_pipeline
+    from quillon.llm import toxicity
+    from quillon.llm.shared import table
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    assert set(model.terms) == {w for i, t in texts.items() if i in toxic for w in t}
+    assert all(r.evidence for r in Q.op1_toxicity(spark, sf).collect() if r.held_out and r.doc_id in toxic and texts[r.doc_id])
+    stay = {r.doc_id for r in corpus_pipeline.reject_toxic(spark, docs, sf).select("doc_id").collect()}
+    gone = [toxic[i] for i in texts if i in toxic and i not in stay]
+    assert sum(gone) >= 0.8 * len(gone) and sum(gone) >= 0.8 * sum(toxic[i] for i in texts if i in toxic)
