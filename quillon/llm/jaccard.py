@@ -14,8 +14,10 @@ Steps, all over whole texts and all rows:
    number of their shared shingles, which with the sizes bounds their similarity; a bucket's (size, shared) kinds are paired first, and only classes of
    kinds that can reach t with another go on. In a bucket, classes outside its largest component meet those of other components, so no pair within the largest
    is ever made.  Candidates are verified exactly; links within a component cannot change it.
+6. Links: every link lies within a component, so all pairs of classes of a component are compared, each once.  A component is cut into blocks of about
+   ``block`` classes and pairs of blocks are dealt out; a pair of blocks is two matrices of ones and their product, the numbers of shared shingles.
 
-The result is exact: the components of all links of t or more.
+The result is exact: the components of all links of t or more, and all these links (``similarity_links``).
 
 Nulls and ties: null, empty or blank texts have an empty set and link with nothing; rows without ``doc_id`` are measured but take no part in links and have no
 component; repeated rows are copies.  An empty table gives no rows; other columns are ignored.
@@ -197,13 +199,82 @@ def _links(pairs: DataFrame, reps: DataFrame, t: Fraction) -> DataFrame:
     return both.mapInArrow(_verify(t), "u long, v long")
 
 
-def similarity_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", orders: int = 2, chunk_bytes: int = 6 << 20) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links.
+def _shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many values each set of ``a`` shares with each set of ``b``."""
+    ta, ra = np.concatenate(a), np.repeat(np.arange(len(a)), [len(x) for x in a])
+    tb, rb = np.concatenate(b), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    both = np.intersect1d(ta, tb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(both), columns):
+        part = both[at : at + columns]
+        sides = []
+        for tokens, rows, n in ((ta, ra, len(a)), (tb, rb, len(b))):
+            place = np.searchsorted(part, tokens)
+            place[place == len(part)] = 0
+            held = part[place] == tokens
+            ones = np.zeros((n, len(part)), np.float32)
+            ones[rows[held], place[held]] = 1
+            sides.append(ones)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _compare(t: Fraction, pairs: bool):
+    """All links of the pairs of blocks that lie together in a partition: the pairs, or the number of links of each class."""
+
+    def linked(rows: list[tuple], lo: int, hi: int) -> list[np.ndarray]:
+        left, right = [r for r in rows if r[3] == lo], [r for r in rows if r[3] == hi]
+        if not left or not right:
+            return [np.empty(0, np.int64)] * (3 if pairs else 2)
+        sets_a = [unpack_sorted(r[6]) for r in left]
+        shared = _shared_counts(sets_a, sets_a if lo == hi else [unpack_sorted(r[6]) for r in right])
+        (ra, sa), (rb, sb) = (np.array([r[4:6] for r in side], np.int64).T for side in (left, right))
+        hit = t.denominator * shared >= t.numerator * (sa[:, None] + sb[None, :] - shared)
+        hit &= ra[:, None] != rb[None, :]
+        if pairs:
+            i, j = np.nonzero(np.triu(hit) if lo == hi else hit)
+            return [np.minimum(ra[i], rb[j]), np.maximum(ra[i], rb[j]), shared[i, j]]
+        if lo == hi:
+            return [ra, hit.sum(1)]
+        return [np.concatenate([ra, rb]), np.concatenate([hit.sum(1), hit.sum(0)])]
+
+    names = ["u", "v", "n_shared"] if pairs else ["u", "n"]
 
-    ``threshold`` is a decimal or a fraction, taken exactly.  ``n_links`` counts the verified comparisons that found a link for the row's class.
-    """
+    def run(batches):
+        held: list[tuple] = []
+        done: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    done.append(linked(held, *held[0][1:3]))
+                    held, size = [], size + len(done[-1][0])
+                    if size > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*done, strict=True)], names)
+                        done, size = [], 0
+                held.append(row)
+        if held:
+            done.append(linked(held, *held[0][1:3]))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*done, strict=True)], names)
+
+    return run
+
+
+def _all_links(final: DataFrame, reps: DataFrame, t: Fraction, block: int, pairs: bool) -> DataFrame:
+    """Links within components (node, component): u, v, n_shared for each, or u, n by block."""
+    cuts = final.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("component", "comp")
+    rows = final.join(cuts, F.col("component") == F.col("comp")).select("comp", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    dealt = rows.select("comp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node")
+    dealt = dealt.join(reps, F.col("node") == F.col("rep")).select("comp", "lo", "hi", "own", "rep", "n_shingles", "tokens")
+    dealt = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    return dealt.mapInArrow(_compare(t, pairs), "u long, v long, n_shared long" if pairs else "u long, n long")
+
+
+def _joined(docs: DataFrame, n: int, t: Fraction, orders: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets, classes, the candidates' sets (rep, n_shingles, tokens) and the components of linked classes (node, component)."""
     spark = docs.sparkSession
-    t = Fraction(threshold)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     counted = rows.mapInArrow(_chunks(n, chunk_bytes, width(spark)), ROW).groupBy("shard").applyInArrow(_count, ROW)
     sets = written(counted.groupBy("chunk").applyInArrow(_assemble, SETS), "shingle-sets")
@@ -245,11 +316,20 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", o
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("under")).where(F.col("under") == orders)
     more = written(_links(pairs, reps, t), "more-links")
 
-    links = star.unionByName(more)
     whole = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
-    final = connected_components(whole)
-    degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
-    final = final.join(degree, F.col("node") == F.col("u"), "left").select(F.col("node"), "component", "n_links")
+    return sets, classes, reps, written(connected_components(whole).select("node", "component"), "components")
+
+
+def similarity_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", orders: int = 2, chunk_bytes: int = 6 << 20, block: int = 512) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links.
+
+    ``threshold`` is a decimal or a fraction, taken exactly.  ``n_links`` is the number of other classes, that is of other sets of shingles, that
+    link with the row's class; copies of one set are no links.
+    """
+    t = Fraction(threshold)
+    sets, classes, reps, final = _joined(docs, n, t, orders, chunk_bytes)
+    degree = _all_links(final, reps, t, block, False).groupBy("u").agg(F.sum("n").alias("n_links"))
+    final = final.join(degree, F.col("node") == F.col("u"), "left").select("node", "component", "n_links")
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select(
         F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
@@ -258,4 +338,8 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", o
     return out.select("doc_id", "n_shingles", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-
+def similarity_links(docs: DataFrame, n: int = 5, threshold: str = "0.8", orders: int = 2, chunk_bytes: int = 6 << 20, block: int = 512) -> DataFrame:
+    """One row per link between two classes: u < v (the smallest doc_id of each class) and n_shared, the shingles that both hold."""
+    t = Fraction(threshold)
+    _, _, reps, final = _joined(docs, n, t, orders, chunk_bytes)
+    return _all_links(final, reps, t, block, True)

@@ -57,3 +57,30 @@ def test_toxicity_indexes_all_words(spark):
     stay = {r.doc_id for r in corpus_pipeline.reject_toxic(spark, docs, sf).select("doc_id").collect()}
     gone = [toxic[i] for i in texts if i in toxic and i not in stay]
     assert sum(gone) >= 0.8 * len(gone) and sum(gone) >= 0.8 * sum(toxic[i] for i in texts if i in toxic)
+
+
+def test_jaccard_links_are_all_found(spark):
+    """n_links and the link table against brute force, with components of one block and of many."""
+    from quillon.llm.jaccard import similarity_components, similarity_links
+    from tests.llm.test_brute_force import shingled
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(3):
+        base = [f"b{k}w{i}" for i in range(40)]
+        for _ in range(40):
+            text = base[:]
+            for at in rng.integers(0, 40, rng.integers(0, 4)):
+                text[at] = f"x{rng.integers(0, 50)}"
+            rows.append(" ".join(text))
+    rows += [rows[0], "", "alone"]
+    sets = {i: frozenset(shingled(t, 2)) for i, t in enumerate(rows)}
+    least = {s: min(i for i in sets if sets[i] == s) for s in sets.values() if s}
+    want = {(u, v) for a, u in least.items() for b, v in least.items() if u < v and 5 * len(a & b) >= 4 * len(a | b)}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    for block in (7, 512):
+        got = {r.doc_id: r.n_links for r in similarity_components(docs, n=2, threshold="0.8", block=block).collect()}
+        assert got == {i: sum(least[s] in pair for pair in want) if s else 0 for i, s in sets.items()}
+        links = similarity_links(docs, n=2, threshold="0.8", block=block).collect()
+        assert len(links) == len(want) and {(r.u, r.v): r.n_shared for r in links} == {(u, v): len(sets[u] & sets[v]) for u, v in want}
+    assert len(want) > 100
