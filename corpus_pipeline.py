@@ -34,8 +34,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_to_target(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat by their fitted rate; the least rate is 1, so that none is lost."""
-    mixed = mixing.mix(docs, queries.labelled_domains(spark, sf_dir), queries.TARGETS, budget=1.1, least=1.0, most=4.0)
+    """Documents repeat by their fitted rate; the least rate is 1, so that none is lost. Domains are learned from all labelled rows, also those dropped before."""
+    learn = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, queries.labelled_domains(spark, sf_dir), queries.TARGETS, budget=1.1, least=1.0, most=4.0, learn=learn)
     return mixing.repeated(mixed, docs.columns)
 
 

@@ -107,14 +107,16 @@ def mix(
     strength: float = 20_000.0,
     temper: float = 2.0,
     keep: list[str] | None = None,
+    learn: DataFrame | None = None,
 ) -> DataFrame:
     """``keep`` columns (all if None) with mix_tokens, mix_posteriors (by domain in the order of ``targets``) and mix_rate.
 
-    ``targets`` are weights of the domains; they are met over ``budget`` times the documents' tokens.
+    ``targets`` are weights of the domains; they are met over ``budget`` times the documents' tokens.  The classifier learns from the labelled rows of
+    ``learn`` (doc_id, text), ``docs`` if None: where labelled rows were dropped from ``docs``, ``learn`` is the table that still holds them.
     """
     domains = list(targets)
     kept = [c for c in docs.columns if keep is None or c in keep]
-    table, priors = fit_classifier(docs, labelled, domains, buckets, max_labelled, strength)
+    table, priors = fit_classifier(docs if learn is None else learn, labelled, domains, buckets, max_labelled, strength)
     #: Row keys are written down with the rows: a task that runs again would number them anew otherwise.
     rows = docs.withColumn("mix_row", F.monotonically_increasing_id())
     if keep is None:

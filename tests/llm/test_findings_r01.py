@@ -84,3 +84,19 @@ def test_jaccard_links_are_all_found(spark):
         links = similarity_links(docs, n=2, threshold="0.8", block=block).collect()
         assert len(links) == len(want) and {(r.u, r.v): r.n_shared for r in links} == {(u, v): len(sets[u] & sets[v]) for u, v in want}
     assert len(want) > 100
+
+
+def test_pipeline_mixing_learns_from_dropped_rows(spark, monkeypatch):
+    """Posteriors of the mixing stage are those of a classifier that saw all labelled rows, whatever the stages before dropped."""
+    import corpus_pipeline
+    from quillon.llm import mixing
+    from quillon.llm.shared import table
+
+    sf = "/root/testdata/sf0.01"
+    docs, toxic = table(spark, sf, "documents"), table(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    seen = []
+    monkeypatch.setattr(mixing, "repeated", lambda mixed, columns, real=mixing.repeated: (seen.append(mixed), real(mixed, columns))[1])
+    corpus_pipeline.mixed_to_target(spark, docs.join(toxic, "doc_id", "left_anti").select(*docs.columns), sf)
+    got = {r.doc_id: r.mix_posteriors for r in seen[0].select("doc_id", "mix_posteriors").collect()}
+    want = {r.doc_id: r.mix_posteriors for r in mixing.mix(docs, Q.labelled_domains(spark, sf), Q.TARGETS, keep=["doc_id"]).collect()}
+    assert 0 < len(got) < len(want) and all(np.allclose(p, want[i]) for i, p in got.items())
