@@ -11,7 +11,8 @@ of hits that a document must have, chosen so that an item of containment ``thres
 The sketches of a block of items travel with the job; ``block_items`` bounds a block, and more items mean more blocks, each one
 pass over the documents.  The documents are never shuffled.
 
-Words ignore case and ASCII punctuation.  An item with fewer than ``n`` words has no shingle and is never found; a
+Words ignore case and ASCII punctuation.  An item with fewer than ``n`` words has no shingle; its whole word sequence is looked up among the document's
+sequences of that length (one exact table a length), and counts as one shingle.  An item without words is never found; a
 null or empty text holds nothing; repeated items and repeated documents each count; other columns are ignored.
 """
 
@@ -61,9 +62,12 @@ class ItemIndex:
         self.n, self.threshold, self.ids = n, threshold, []
         coder, owners, hashes = WordCoder(), [], []
         every_owner, every_hash, need, sizes = [], [], [], []
+        shorter: dict[int, dict[int, list[int]]] = {}
         for item_id, text in items:
             w = plain_words(text)
             if len(w) < n:
+                if w:
+                    shorter.setdefault(len(w), {}).setdefault(int(shingles(coder.hashed(w), len(w))[0]), []).append(item_id)
                 continue
             s = np.unique(shingles(coder.hashed(w), n))
             at = len(self.ids)
@@ -76,6 +80,7 @@ class ItemIndex:
             owners.append(np.full(k, at))
             every_hash.append(s)
             every_owner.append(np.full(len(s), at))
+        self.short = [(length, np.array(sorted(ids), np.uint64), ids) for length, ids in sorted(shorter.items())]
         self.need, self.sizes = np.array(need, np.int64), np.array(sizes, np.int64)
         self.enough = [needed(m, threshold) for m in sizes]
         self.sketch, self.sketch_owner = self._table(hashes, owners)
@@ -113,6 +118,15 @@ class ItemIndex:
         return [(self.ids[c], int(shared[c]), int(self.sizes[c])) for c in candidates if shared[c] >= self.enough[c]]
 
 
+    def found(self, hashed: np.ndarray) -> list[tuple[int, int, int]]:
+        """``matches`` of a document's word hashes, and the items of fewer than ``n`` words that it holds."""
+        out = self.matches(shingles(hashed, self.n)) if len(hashed) >= self.n else []
+        for length, keys, ids in self.short:
+            if len(hashed) >= length:
+                out += [(i, 1, 1) for h in np.intersect1d(shingles(hashed, length), keys) for i in ids[int(h)]]
+        return out
+
+
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, bytes]]]:
     """The stated query set in blocks of at most ``block_items``; the driver holds one block at a time."""
     held: list = []
@@ -133,7 +147,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float, sk
 def find_contained(
     docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8, sketch: int = 16, miss: float = 1e-6, block_items: int = 20_000
 ) -> DataFrame:
-    """One row for each (document, item) with at least ``threshold`` of the item's n-word shingles in the document."""
+    """One row for each (document, item) with at least ``threshold`` of the item's n-word shingles (an item of fewer words: all of it) in the document."""
     indexes = _indexes(docs, benchmark, n, threshold, sketch, miss, block_items)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     if not indexes:
@@ -148,8 +162,8 @@ def find_contained(
                 for key, text in zip(keys, batch.column(1), strict=True):
                     coder.renew()
                     w = plain_words(text.as_py())
-                    if len(w) >= n:
-                        out += [(key, i, s, m, s / m) for i, s, m in table.matches(shingles(coder.hashed(w), n))]
+                    if w:
+                        out += [(key, i, s, m, s / m) for i, s, m in table.found(coder.hashed(w))]
                 if out:
                     types = [pa.int64()] * 4 + [pa.float64()]
                     yield pa.RecordBatch.from_arrays(
@@ -175,7 +189,7 @@ def drop_contaminated(
                 for text in batch.column("text").cast(pa.binary()):
                     coder.renew()
                     w = plain_words(text.as_py())
-                    keep.append(len(w) < n or not table.matches(shingles(coder.hashed(w), n)))
+                    keep.append(not w or not table.found(coder.hashed(w)))
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

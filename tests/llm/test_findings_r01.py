@@ -100,3 +100,13 @@ def test_pipeline_mixing_learns_from_dropped_rows(spark, monkeypatch):
     got = {r.doc_id: r.mix_posteriors for r in seen[0].select("doc_id", "mix_posteriors").collect()}
     want = {r.doc_id: r.mix_posteriors for r in mixing.mix(docs, Q.labelled_domains(spark, sf), Q.TARGETS, keep=["doc_id"]).collect()}
     assert 0 < len(got) < len(want) and all(np.allclose(p, want[i]) for i, p in got.items())
+
+
+def test_short_benchmark_items_are_found(spark):
+    from quillon.llm import contamination
+
+    docs = spark.createDataFrame([(1, "The quick, brown fox jumps over it"), (2, "brown fox"), (3, "fox brown quick"), (4, ""), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "Brown fox"), (11, "quick brown fox jumps"), (12, "fox"), (13, "..."), (14, "quick brown fox jumps over"), (15, "brown FOX!")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item, r.containment) for r in contamination.find_contained(docs, items).collect()}
+    assert got == {(d, i, 1, 1, 1.0) for d, i in [(1, 10), (1, 11), (1, 12), (1, 14), (1, 15), (2, 10), (2, 12), (2, 15), (3, 12)]}
+    assert sorted(r.doc_id for r in contamination.drop_contaminated(docs, items).collect()) == [4, 5]
