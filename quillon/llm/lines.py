@@ -3,6 +3,7 @@
 A run is a table of line hashes, dealt by hash and sorted, with the number of documents that hold the line
 and the largest ``doc_id`` among them.  Each batch of documents becomes one run of level 0: a merge join against the runs
 so far tells its unseen hashes (``fresh``: the anti-join) from the others, and all of them are added with their own counts.
+Counts need every hash of every batch, so ``fresh`` is for information: no step of the deduplication reads it.
 When a level holds ``fanout`` runs they are merged into one of the next level, so a batch meets
 few runs however many came before.  A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-Z lower-cased; keys are
 compared by 128-bit hashes.
