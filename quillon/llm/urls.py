@@ -6,7 +6,7 @@ label them.  All others are judged by templates:
 1. Segments that vary by nature (numbers, long hexadecimal strings) become wildcards; then rows are summed by (host, shaped path), so a host with a
    third of all urls is a few rows from here on.
 2. Level by level, a node whose children are many and thinly used has them replaced by one wildcard.
-3. Sibling branches of one parent merge if they are alike: what lies below them is distributed as in all siblings together (total variation
+3. First-level branches of a host merge if they are alike (branches below the first segment do not merge, and what lies beyond ``depth`` has no statistics): what lies below them is distributed as in all siblings together (total variation
    within ``alike`` plus sampling error), and their labelled rates do not differ from the pooled rate by more than ``z`` standard errors.  A branch without
    labels can merge by its structure alone.
 4. A template is rejected if its smoothed labelled purity, (bad + strength * prior) / (labelled + strength), reaches ``reject``; the prior is
