@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import new_path, width
-from quillon.llm.text import pack, unpack
+from quillon.llm.text import pack, release, unpack
 
 _HEAD = struct.Struct("<4sBBHIQ")
 _MAGIC = b"QBP1"
@@ -90,23 +90,79 @@ def decode_planes(payload: bytes, start: int = 0, stop: int | None = None) -> np
 #: ASCII punctuation that no contraction begins with: at a piece's end, after a letter or digit, it is a token run of its own.
 _TAIL = b".,;:!?|%$&*#)]}>=-_+~^/@\"\\"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_WHITE = np.zeros(256, bool)
+_WHITE[list(b" \t\n\r\x0b\x0c")] = True
+#: Pieces of up to so many 8-byte words are looked up on arrays, longer ones in a dictionary.
+_WORDS = 3
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+class _PieceTable:
+    """Codes of short byte strings, by open addressing on arrays; a key is the string itself and its length, so no two share a code."""
+
+    def __init__(self) -> None:
+        self.slots = np.full(1 << 12, -1, np.int32)
+        self.keys, self.n = np.empty((1 << 10, _WORDS + 1), np.uint64), 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = keys @ _ODD
+            h = (h ^ (h >> np.uint64(31))) * _ODD[0]
+        return ((h >> np.uint64(29)) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The code of each key, -1 for unknown ones."""
+        out, slot, live = np.full(len(keys), -1, np.int64), self._home(keys), np.arange(len(keys))
+        while len(live):
+            code = self.slots[slot[live]]
+            some = code >= 0
+            live, code = live[some], code[some]
+            same = (self.keys[code] == keys[live]).all(1)
+            out[live[same]] = code[same]
+            live = live[~same]
+            slot[live] = (slot[live] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct unknown keys; their codes follow on."""
+        n = self.n + len(keys)
+        if n > len(self.keys):
+            self.keys = np.concatenate([self.keys[: self.n], np.empty((2 * n - self.n, _WORDS + 1), np.uint64)])
+        self.keys[self.n : n] = keys
+        first, self.n = self.n, n
+        if 2 * n > len(self.slots):
+            self.slots, first = np.full(1 << (4 * n).bit_length(), -1, np.int32), 0
+        codes = np.arange(first, n)
+        slot = self._home(self.keys[first:n])
+        while len(codes):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            self.slots[slot[free]] = codes[free]  # of several that want a slot one stays
+            lost = self.slots[slot] != codes
+            codes, slot = codes[lost], (slot[lost] + 1) & (len(self.slots) - 1)
 
 
 class PieceEncoder:
     """Encodes by white-space separated pieces, each distinct piece once.
 
     It fits tokenizers that treat such pieces independently (see ``splits_at_space``).  A new piece is taken apart further where that is certain to give the
-    same ids: trailing punctuation after an ASCII letter or digit, and case where all is ASCII.  ``keep`` bounds the pieces, and the parts, that stay in memory; others are
-    encoded anew in each batch.
+    same ids: trailing punctuation after an ASCII letter or digit, and case where all is ASCII.  Beyond ``keep`` known pieces, or parts, all are forgotten and
+    learned anew, which bounds the memory of a worker.
     """
 
-    def __init__(self, tokenizer, keep: int = 900_000) -> None:
+    def __init__(self, tokenizer, keep: int = 1_000_000) -> None:
         self.tokenizer, self.keep = tokenizer, keep
-        #: A piece's code gives its two parts' codes; a part's code gives its ids in ``flat``. Part 0 is empty.
-        self.codes: dict[bytes, int] = {}
-        self.pairs = np.empty((0, 2), np.int64)
+        sep = tokenizer.encode("\x01", add_special_tokens=False).ids
+        #: Parts are encoded many at once, divided by a control character, where that is one id.
+        self.divider = sep[0] if len(sep) == 1 else None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.short, self.long = _PieceTable(), {}
+        #: A short piece's code, or a long one's from the end, gives its two parts' codes; a part's code gives its ids in ``flat``. Part 0 is empty.
+        self.pairs, self.long_pairs = np.empty((0, 2), np.int32), np.empty((0, 2), np.int32)
         self.parts: dict[bytes, int] = {b"": 0}
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(2, np.int64)
+        self.flat, self.ends, self.n_ids = np.empty(0, np.uint32), np.zeros(2, np.int64), 0
 
     @staticmethod
     def split(piece: bytes) -> tuple[bytes, bytes]:
@@ -118,58 +174,108 @@ class PieceEncoder:
             core, tail = piece, b""
         return (core.lower() if core.isascii() else core), tail
 
+    def _ids(self, parts: list[bytes], group: int = 200) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts one after the other, and the number of each part's."""
+        alone = [self.divider is None or b"\x01" in p or b"<|" in p for p in parts]
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        plain = [t for t, a in zip(texts, alone, strict=True) if not a]
+        groups = [" \x01 ".join(plain[i : i + group]) for i in range(0, len(plain), group)]
+        got = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(chain([self.divider], e.ids) for e in got), np.uint32) if groups else np.empty(0, np.uint32)
+        cut = np.flatnonzero(ids == self.divider) if groups else np.empty(0, np.int64)
+        lens = np.diff(np.append(cut, len(ids))) - 1
+        ids = np.delete(ids, cut)
+        if not any(alone):
+            return ids, lens
+        runs = iter(np.split(ids, np.cumsum(lens)[:-1]) if len(lens) else [])
+        singles = iter(self.tokenizer.encode_batch_fast([t for t, a in zip(texts, alone, strict=True) if a], add_special_tokens=False))
+        every = [np.array(next(singles).ids, np.uint32) if a else next(runs) for a in alone]
+        return np.concatenate(every), np.array([len(x) for x in every], np.int64)
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """The codes of the two parts of each piece; new parts are encoded."""
+        split = list(chain.from_iterable(map(self.split, pieces)))
+        of = list(map(self.parts.get, split))
+        fresh: list[bytes] = []
+        for i, code in enumerate(of):
+            if code is None:
+                of[i] = code = self.parts.setdefault(split[i], len(self.parts))
+                if code == len(self.ends) - 1 + len(fresh):
+                    fresh.append(split[i])
+        if fresh:
+            ids, lens = self._ids(fresh)
+            if self.n_ids + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.n_ids], np.empty(self.n_ids + 2 * len(ids), np.uint32)])
+            self.flat[self.n_ids : self.n_ids + len(ids)] = ids
+            self.n_ids += len(ids)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+        return np.array(of, np.int32).reshape(-1, 2)
+
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of each text. The collector would walk the dictionaries again and again for the many small lists made here."""
         collecting = gc.isenabled()
         gc.disable()
         try:
+            if self.short.n + len(self.long) > self.keep or len(self.parts) > self.keep:
+                self._clear()
             return self._encode(texts)
         finally:
             if collecting:
                 gc.enable()
 
     def _encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        pieces = [t.split() if t else [] for t in texts]
-        every = list(chain.from_iterable(pieces))
-        codes = list(map(self.codes.get, every))
-        pairs, flat, ends = self.pairs, self.flat, self.ends
-        if None in codes:
-            new: dict[bytes, int] = {}
-            base = len(pairs)
-            for i, code in enumerate(codes):
-                if code is None:
-                    codes[i] = new.setdefault(every[i], base + len(new))
-            split = list(chain.from_iterable(map(self.split, new)))
-            of = list(map(self.parts.get, split))
-            fresh: dict[bytes, int] = {}
-            at = len(ends) - 1
-            for i, code in enumerate(of):
-                if code is None:
-                    of[i] = fresh.setdefault(split[i], at + len(fresh))
-            if fresh:
-                got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh], add_special_tokens=False)
-                ids = [e.ids for e in got]
-                flat = np.concatenate([flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-                ends = np.concatenate([ends, ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-            pairs = np.concatenate([pairs, np.array(of, np.int64).reshape(-1, 2)])
-            #: Both tables are kept or neither, as pieces point to parts.
-            if len(self.codes) + len(new) <= self.keep and len(self.parts) + len(fresh) <= self.keep:
-                self.codes.update(new)
-                self.parts.update(fresh)
-                self.pairs, self.flat, self.ends = pairs, flat, ends
-        c = pairs[np.fromiter(codes, np.int64, len(codes))].ravel()
-        start = ends[c]
-        lens = ends[c + 1] - start
-        total = np.concatenate([[0], np.cumsum(lens)])
-        ids = flat[np.arange(total[-1]) + np.repeat(start - total[:-1], lens)] if len(c) else flat[:0]
-        cuts = total[2 * np.cumsum([0] + [len(p) for p in pieces])]
+        lens = np.array([len(t) if t else 0 for t in texts], np.int64)
+        raw = b" ".join([*(t or b"" for t in texts), b" " * (8 * _WORDS)])
+        white = _WHITE[np.frombuffer(raw, np.uint8)]
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        if not white[0]:
+            edge = np.concatenate([[0], edge])
+        start, end = edge[0::2], edge[1::2]
+        size = end - start
+        at = np.flatnonzero(size <= 8 * _WORDS)
+        words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        keys = np.empty((len(at), _WORDS + 1), np.uint64)
+        for k in range(_WORDS):
+            keys[:, k] = words[start[at] + 8 * k] & _MASKS[np.clip(size[at] - 8 * k, 0, 8)]
+        keys[:, _WORDS] = size[at]
+        code = self.short.find(keys)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            met: dict[bytes, int] = {}
+            place = at[new]
+            got = [met.setdefault(raw[a:b], len(met)) for a, b in zip(start[place].tolist(), end[place].tolist(), strict=True)]
+            got = np.fromiter(got, np.int64, len(got))
+            code[new] = got + self.short.n
+            first = np.empty(len(met), np.int64)
+            first[got[::-1]] = new[::-1]
+            self.pairs = np.concatenate([self.pairs, self._learn(list(met))])
+            self.short.add(keys[first])
+        pairs = np.empty((len(start), 2), np.int32)
+        pairs[at] = self.pairs[code]
+        del keys, code
+        rest = np.flatnonzero(size > 8 * _WORDS)
+        if len(rest):
+            pieces = [raw[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+            met = {p: None for p in pieces if p not in self.long}
+            for p in met:
+                self.long[p] = len(self.long)
+            if met:
+                self.long_pairs = np.concatenate([self.long_pairs, self._learn(list(met))])
+            pairs[rest] = self.long_pairs[[self.long[p] for p in pieces]]
+        c = pairs.ravel()
+        begin = self.ends[c]
+        n = self.ends[c + 1] - begin
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)]
+        bound = np.concatenate([[0], np.cumsum(lens + 1)])
+        cuts = total[2 * np.searchsorted(start, bound)]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def splits_at_space(path: str) -> bool:
-    """Whether a tokenizers file surely encodes pieces between ASCII white space independently.
+    """Whether a tokenizers file surely encodes pieces between ASCII white space independently, and upper-case ASCII as lower-case.
 
-    True for a split that keeps only runs without white space, after context-free normalisers.
+    True for a split that keeps only runs without white space, after context-free normalisers of which one lower-cases.
     """
     import json
 
@@ -177,12 +283,15 @@ def splits_at_space(path: str) -> bool:
         t = json.load(f)
     kinds = {n.get("type") for n in (t.get("normalizer") or {}).get("normalizers", [])}
     pre = (t.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    pattern = pre[0].get("pattern")
     return (
         kinds <= {"NFC", "Replace", "Lowercase"}
+        and "Lowercase" in kinds
         and pre[0].get("type") == "Split"
         and pre[0].get("behavior") == "Removed"
         and bool(pre[0].get("invert"))
-        and r"[^\s\p{L}\p{N}]+" in str(pre[0].get("pattern"))
+        and isinstance(pattern, dict)
+        and pattern.get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         and t.get("post_processor") is None
         and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or len(a["content"].split()) != 1 for a in t.get("added_tokens", []))
     )
@@ -202,7 +311,7 @@ def _encoder(path: str):
         else:
             _ENCODERS[path] = lambda texts: [
                 np.array(e.ids, np.uint32)
-                for e in t.encode_batch([(x or b"").decode("utf-8", "replace") for x in texts], add_special_tokens=False)
+                for e in t.encode_batch_fast([(x or b"").decode("utf-8", "replace") for x in texts], add_special_tokens=False)
             ]
     return _ENCODERS[path]
 
@@ -262,9 +371,12 @@ def write_tokens(
                         yield close()
                         before, seq = before + held, seq + 1
                         ids, doc_ids, lens, held = [], [], [], 0
+                        release()
                 at = stop
         if doc_ids:
             yield close()
+        ids.clear()
+        release()
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

@@ -1,0 +1,28 @@
+"""Tests of what the second round mended or built."""
+
+from __future__ import annotations
+
+
+def test_tokenizer_takes_the_piece_path(tmp_path):
+    """The registered tokenizer is encoded by pieces; one that keeps case is not. Pieces equal the library on hard texts, also when the table is forgotten."""
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    from quillon.llm import queries, tokens
+
+    path = queries.tokenizer_path()
+    assert tokens.splits_at_space(path)
+    t = json.load(open(path, encoding="utf-8"))
+    t["normalizer"]["normalizers"] = [n for n in t["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    (tmp_path / "cased.json").write_text(json.dumps(t), encoding="utf-8")
+    assert not tokens.splits_at_space(str(tmp_path / "cased.json"))
+    rnd = random.Random(1)
+    bits = ["a", "B", " ", "\n", "'s", "'", "<|endoftext|>", "<|", "\x01", "\x00", "é", "́", "Σ", "1", "²", "!", "...", " ", "\x1c", "İ", "中", "'Re", "x" * 30, "\t", "Word."]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(40))).encode() for _ in range(2_000)] + [b"", None]
+    library = Tokenizer.from_file(path)
+    want = [e.ids for e in library.encode_batch_fast([(x or b"").decode() for x in texts], add_special_tokens=False)]
+    encoder = tokens.PieceEncoder(library, keep=300)
+    got = [ids.tolist() for at in range(0, len(texts), 100) for ids in encoder.encode(texts[at : at + 100])]
+    assert got == want and encoder.short.n < 2_000
