@@ -148,6 +148,20 @@ def release() -> None:
         pass  # another C library
 
 
+def slices(texts, size: int) -> Iterator[list[bytes | None]]:
+    """An Arrow array of texts as lists of about ``size`` bytes (a longer text stays whole)."""
+    held: list[bytes | None] = []
+    n = 0
+    for text in texts:
+        held.append(text.as_py())
+        n += len(held[-1] or b"")
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def in_chunks(batches, size: int, of=lambda row: len(row or b""), column: int = 1) -> Iterator[list[list]]:
     """Lists of columns gathered from Arrow batches until about ``size`` bytes of text (a longer row stays whole)."""
     held: list[list] | None = None

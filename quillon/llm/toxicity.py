@@ -19,8 +19,8 @@ the one that exists (0 without any).  Other columns of ``docs`` pass through.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillon.llm.text import words
+from quillon.llm.text import release, slices, words
 
 
 @dataclass
@@ -41,7 +41,7 @@ class ToxicityModel:
     example_id: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     spread: int = 16
     start: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    row: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    row: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
     common: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     matrix: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
@@ -49,12 +49,20 @@ class ToxicityModel:
     slope: float = 0.0
     offset: float = 0.0
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        found = list(map(self.terms.get, counts))
-        c = np.array([x for x, t in zip(counts.values(), found, strict=True) if t is not None], np.int64)
-        t = np.array([t for t in found if t is not None], np.int64)
-        order = np.argsort(t)
-        return self.weighted(t[order], c[order])
+    def vectors(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The vectors of several texts: ascending terms and weights."""
+        tokens = [words(t) for t in texts]
+        lens = np.array([len(x) for x in tokens], np.int64)
+        found = np.fromiter(map(self.terms.get, chain.from_iterable(tokens), repeat(-1)), np.int64, int(lens.sum()))
+        del tokens
+        of = np.repeat(np.arange(len(texts)) * len(self.idf), lens)
+        both, c = np.unique((of + found)[found >= 0], return_counts=True)
+        of, t = np.divmod(both, max(1, len(self.idf)))
+        w = (1 + np.log(c)) * self.idf[t]
+        of, t, w = of[w > 0], t[w > 0], w[w > 0]
+        w = w / np.sqrt(np.bincount(of, w * w, len(texts)))[of]
+        cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+        return [(t[a:b], w[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def weighted(self, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The vector of ascending terms and their counts."""
@@ -77,7 +85,7 @@ class ToxicityModel:
         self.maxima = np.ascontiguousarray(np.nextafter(tops, np.float32(2), where=tops > 0, out=np.zeros_like(tops)).T)
         row, term, weight = row[~dense], term[~dense], weight[~dense]
         order = np.lexsort((row, term))
-        self.row, self.weight = row[order].astype(np.int32), weight[order]
+        self.row, self.weight = row[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
 
     def often(self, term: np.ndarray, n: int) -> np.ndarray:
@@ -151,6 +159,7 @@ def document_frequency(docs: DataFrame, vocabulary: list[bytes]) -> tuple[np.nda
             for text in batch.column(0):
                 n += 1
                 counts[[at[w] for w in known & set(words(text.as_py()))]] += 1
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(counts), -1), pa.int32()), pa.array(np.append(counts[counts > 0], n), pa.int64())], ["term", "n"])
 
     def packed(batches):
@@ -178,7 +187,7 @@ def fit(
     labels: DataFrame,
     label: str = "toxic",
     k: int = 15,
-    block: int = 64,
+    block: int = 16,
     max_examples: int = 4000,
     min_rows: int = 1,
     least: float = 0.0,
@@ -250,14 +259,23 @@ def score(docs: DataFrame, model: ToxicityModel, evidence: int = 3, keep_text: b
     def run(batches):
         m = shared.value
         for batch in batches:
-            scores, near = [], []
-            for text in batch.column("text").cast(pa.binary()):
-                ids, cosines = m.neighbours(*m.vector(Counter(words(text.as_py()))))
-                scores.append(m.probability(m.vote(ids, cosines)))
-                near.append([{"doc_id": int(m.example_id[i]), "cosine": float(c), "label": int(m.label[i])} for i, c in zip(ids[:evidence], cosines[:evidence], strict=True)])
+            texts = batch.column("text").cast(pa.large_binary())
+            scores, ids, cosines = [], [], []
+            for part in slices(texts, 1 << 20):
+                for t, w in m.vectors(part):
+                    i, c = m.neighbours(t, w)
+                    scores.append(m.probability(m.vote(i, c)))
+                    ids.append(i[:evidence])
+                    cosines.append(c[:evidence])
+            i = np.concatenate([np.empty(0, np.int64), *ids])
+            examples = [pa.array(m.example_id[i], pa.int64()), pa.array(np.concatenate([np.empty(0), *cosines])), pa.array(m.label[i].astype(np.int32))]
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            near = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(examples, ["doc_id", "cosine", "label"])).cast(kinds)
             kept = [i for i, name in enumerate(batch.schema.names) if keep_text or name != "text"]
-            columns = [*(batch.column(i) for i in kept), pa.array(scores, pa.float64()), pa.array(near, kinds)]
+            columns = [*(batch.column(i) for i in kept), pa.array(scores, pa.float64()), near]
             yield pa.RecordBatch.from_arrays(columns, [*(batch.schema.names[i] for i in kept), "tox_score", "tox_evidence"])
+            del batch, texts, columns
+        release()
 
     fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     added = StructType.fromDDL("tox_score double, tox_evidence array<struct<doc_id: long, cosine: double, label: int>>").fields

@@ -46,7 +46,7 @@ def test_toxicity_neighbours_are_exact():
     rng = np.random.default_rng(3)
     m = ToxicityModel(5, 8, label=rng.integers(0, 2, 100).astype(float))
     m.terms, m.idf = {f"w{i}".encode(): i for i in range(40)}, rng.random(40) + 1
-    vectors = [m.vector(Counter(f"w{i}".encode() for i in rng.integers(0, 40, rng.integers(0, 12)))) for _ in range(100)]
+    vectors = m.vectors([b" ".join(b"w%d" % i for i in rng.integers(0, 40, rng.integers(0, 12))) for _ in range(100)])
     m.build(vectors)
     dense = np.zeros((100, 40))
     for i, (t, w) in enumerate(vectors):
