@@ -2,12 +2,15 @@
 
 A chunk (some MB of texts handled by one task) sends its sorted hashes to shards by their top bits, packed; a shard holds all hashes of
 its range, counts them over all chunks, and answers.  Nothing is exploded into rows, and a hash that a third of all documents hold is one
-value in each chunk's blob.  The number of shards follows the session's shuffle partitions.
+value in each chunk's blob.  The number of shards follows the input's size, so a shard holds as much however large the corpus is.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+
+from quillon.llm.shared import width
 
 ROW = "chunk long, shard int, kind int, head binary, body binary"
 
@@ -29,3 +32,10 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     h, c = h[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
     return h[first], np.add.reduceat(c, first) if len(h) else c
+
+
+def shards_for(docs: DataFrame, shard_bytes: int = 64 << 20) -> int:
+    """Shards of about ``shard_bytes`` of the input's files, and no fewer than the session's shuffle partitions (all there are where sizes are unknown)."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(width(docs.sparkSession), sum(s for s in sizes if s < 1 << 62) // shard_bytes)

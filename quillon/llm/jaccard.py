@@ -2,25 +2,24 @@
 
 Steps, all over whole texts and all rows:
 
-1. Each text becomes a set of 48-bit shingle hashes.  Texts with equal sets are one *class* from here on, whatever the size of a group of copies.
+1. Each text becomes a set of 64-bit shingle hashes.  Texts with equal sets are one *class* from here on, whatever the size of a group of copies.
 2. A counting exchange (see ``exchange``) tells in how many rows each shingle stands; only shingles of two rows or more come back, as others cannot be
    shared.  Sizes of whole sets are kept, so similarities stay exact.
 3. A set's prefix under an order is its first ``size - ceil(t * size) + 1`` shingles.  Two sets with Jaccard similarity of t or more share a prefix
    shingle under *every* global order.  The orders here all put rare shingles first (by the power of two of their frequency) and break ties by different
    scrambles.  Shingles of one row lead each order and are not sent.
-4. Star round: in each bucket (first order's prefix shingle) the class with the least share of unshared shingles leads; each class is verified against the
-   leader that it meets in most buckets.  Links found join classes to components.  A group of near copies costs one comparison a member.
-5. Exhaustive round: candidates are pairs of *different components* that share a prefix shingle under all orders.  Two sets share no more than the smaller
-   number of their shared shingles, which with the sizes bounds their similarity; a bucket's (size, shared) kinds are paired first, and only classes of
-   kinds that can reach t with another go on. In a bucket, classes outside its largest component meet those of other components, so no pair within the largest
-   is ever made.  Candidates are verified exactly; links within a component cannot change it.
-6. Links: every link lies within a component, so all pairs of classes of a component are compared, each once.  A component is cut into blocks of about
-   ``block`` classes and pairs of blocks are dealt out; a pair of blocks is two matrices of ones and their product, the numbers of shared shingles.
+4. In each bucket (first order's prefix shingle) the class with the least share of unshared shingles leads.  All classes that meet a leader, in whatever
+   bucket, are its group, so every candidate pair lies in some group, and the hundreds of buckets of a group of near copies are one or a few groups.
+5. A group is cut into blocks of about ``block`` classes and ``block_bytes`` bytes; each pair of blocks is one unit of work, dealt to any task.  In it pairs
+   are candidates if their sizes allow t, if they share a prefix shingle under *each* order (the filters are intersected on bit matrices), and if no
+   lesser leader's group holds both, so each pair is looked at once.  Candidates are verified by their exact number of common shingles.
+6. No row is made for a candidate: a unit of work gives each class's number of links and a spanning forest of them, both linear in its classes.
 
-The result is exact: the components of all links of t or more, and all these links (``similarity_links``).
+The result is exact but for collisions of 64-bit hashes: the components of all links of t or more, and all these links (``similarity_links``).  The work grows
+with the square of a group of *different* sets that share prefixes, at some nanoseconds a pair.
 
 Nulls and ties: null, empty or blank texts have an empty set and link with nothing; rows without ``doc_id`` are measured but take no part in links and have no
-component; repeated rows are copies.  An empty table gives no rows; other columns are ignored.
+component; repeated rows are copies, and rows that share a ``doc_id`` link with what any of them links with.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,17 +29,17 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.llm.exchange import ROW, shard_cuts
-from quillon.llm.shared import width, written
-from quillon.llm.text import WordCoder, in_chunks, mix, pack, pack_sorted, shingles, unpack, unpack_sorted, words
+from quillon.llm.exchange import ROW, shard_cuts, shards_for
+from quillon.llm.shared import written
+from quillon.llm.text import WordCoder, in_chunks, mix, pack, pack_sorted, release, shingles, unpack, unpack_sorted, words
 
-BITS = 48
-_KEY = np.uint64(64 - BITS)
 SETS = "doc_id long, n_shingles long, hi long, lo long, tokens binary, freq binary"
+#: A class's set, the first order's prefix as keys, and each order's prefix as packed hashes.
+CANDIDATES = "rep long, n_shingles long, tokens binary, keys array<long>, prefixes array<binary>"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -54,7 +53,7 @@ def _chunks(n: int, chunk_bytes: int, shards: int):
         task, seq = TaskContext.get().partitionId(), 0
         for ids, texts in in_chunks(batches, chunk_bytes):
             coder = WordCoder()
-            sets = [np.unique(shingles(coder.hashed(words(t)), n) >> _KEY) for t in texts]
+            sets = [np.unique(shingles(coder.hashed(words(t)), n)) for t in texts]
             sizes = np.array([len(s) for s in sets], np.int64)
             with np.errstate(over="ignore"):
                 hi = np.array([mix(s, 11).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -67,13 +66,16 @@ def _chunks(n: int, chunk_bytes: int, shards: int):
             every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(every, kind="stable")
             every, owner = every[order], owner[order]
-            cuts = shard_cuts(every, BITS, shards)
+            cuts = shard_cuts(every, 64, shards)
             for s in range(shards):
                 a, b = cuts[s], cuts[s + 1]
                 if b > a:
                     out.append((chunk, s, 1, pack(owner[a:b]), pack_sorted(every[a:b])))
+            del coder, sets, every, owner, order, texts
             for at in range(0, len(out), 64):
                 yield _rows(out[at : at + 64])
+            del out
+            release()
 
     return run
 
@@ -99,12 +101,15 @@ def _count(table: pa.Table) -> pa.Table:
                 head = pack(unpack(owners)[shared])
                 freq = pack(n[at[shared]])
                 out.append((chunk, shard, 1, len(head).to_bytes(4, "little") + head + freq, pack_sorted(h[shared])))
+        del every, own
+    release()
     return pa.Table.from_batches([_rows(out)])
 
 
 def _assemble(table: pa.Table) -> pa.Table:
     """A chunk's rows with their shared shingles, ascending."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("shard", "kind", "head", "body")), strict=True), key=lambda r: r[:2])
+    del table
     meta = next(r[2] for r in rows if r[1] == 0)
     m = int(np.frombuffer(meta, np.int64, 1)[0])
     nulls = np.frombuffer(meta, np.uint8, m, 8).astype(bool)
@@ -116,12 +121,15 @@ def _assemble(table: pa.Table) -> pa.Table:
             owners.append(unpack(head[4 : 4 + k]))
             freq.append(unpack(head[4 + k :]))
             tokens.append(unpack_sorted(body))
+    del rows
     o = np.concatenate(owners) if owners else np.empty(0, np.int64)
     t = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
     f = np.concatenate(freq) if freq else np.empty(0, np.int64)
     order = np.lexsort((t, o))
     t, f = t[order], f[order]
     cuts = np.searchsorted(o[order], np.arange(m + 1))
+    del o, owners, tokens, freq, order
+    release()
     return pa.table(
         {
             "doc_id": pa.array(keys, mask=nulls), "n_shingles": pa.array(sizes), "hi": pa.array(hi), "lo": pa.array(lo),
@@ -137,8 +145,10 @@ def _needed(size: int, t: Fraction) -> int:
 
 
 def _prefixes(t: Fraction, orders: int):
+    """Classes whose shared shingles reach into their prefix, with their prefixes."""
+
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             out: list[list] = [[], [], [], [], []]
             for rep, size, tokens, freq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = unpack_sorted(tokens)
@@ -146,65 +156,27 @@ def _prefixes(t: Fraction, orders: int):
                 if room <= 0:
                     continue
                 rarity = np.floor(np.log2(unpack(freq))).astype(np.int64)
-                for k in range(orders):
-                    first = h[np.lexsort((mix(h, 100 + k), rarity))[:room]]
-                    out[0].append(np.full(len(first), k, np.int32))
-                    out[1].append(first.astype(np.int64))
-                    out[2].append(np.full(len(first), rep, np.int64))
-                    out[3].append(np.full(len(first), size, np.int64))
-                    out[4].append(np.full(len(first), len(h), np.int64))
+                firsts = [np.sort(h[np.lexsort((mix(h, 100 + k), rarity))[:room]]) for k in range(orders)]
+                for column, value in zip(out, (rep, size, tokens, firsts[0].view(np.int64), [pack_sorted(x) for x in firsts]), strict=True):
+                    column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["order", "token", "rep", "size", "shared"])
-
-    return run
-
-
-def _verify(t: Fraction):
-    def run(batches):
-        for batch in batches:
-            links: list[tuple] = []
-            held: tuple = (None, None)
-            for a, b, sa, sb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hb = held[1] if held[0] == b else unpack_sorted(tb)
-                held = (b, hb)
-                shared = len(np.intersect1d(unpack_sorted(ta), hb, assume_unique=True))
-                if t.denominator * shared >= t.numerator * (sa + sb - shared):
-                    links.append((a, b))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["u", "v"])
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, types, strict=True)], ["rep", "n_shingles", "tokens", "keys", "prefixes"])
+        release()
 
     return run
 
 
-def _reachable(sa: Column, ma: Column, sb: Column, mb: Column, t: Fraction) -> Column:
-    """Whether sets of these sizes, with so many shingles that other rows hold too, can be t alike."""
-    most = F.least(ma, mb)
-    return most * t.denominator >= (sa + sb - most) * t.numerator
-
-
-def _feasible(grams: DataFrame, t: Fraction) -> DataFrame:
-    """(order, token, size, shared) of buckets with a kind of another component that can reach t. One row a kind, not a class."""
-    kinds = written(grams.groupBy("order", "token", "size", "shared").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "kinds")
-    other = kinds.select(*[F.col(c).alias(f"{c}_b") for c in kinds.columns])
-    apart = ~((F.col("lo") == F.col("hi")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo") == F.col("lo_b")))
-    on = (F.col("order") == F.col("order_b")) & (F.col("token") == F.col("token_b")) & apart
-    return kinds.join(other, on & _reachable(F.col("size"), F.col("shared"), F.col("size_b"), F.col("shared_b"), t), "left_semi").drop("lo", "hi")
-
-
-def _links(pairs: DataFrame, reps: DataFrame, t: Fraction) -> DataFrame:
-    """Verified pairs (a, b). A leader with very many members is a hot key of the second join, which adaptive execution splits."""
-    left = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("sa"), F.col("tokens").alias("ta"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("sb"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "ta", "tb")
-    return both.mapInArrow(_verify(t), "u long, v long")
-
-
 def _shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """How many values each set of ``a`` shares with each set of ``b``."""
+    out = np.zeros((len(a), len(b)), np.float32)
     ta, ra = np.concatenate(a), np.repeat(np.arange(len(a)), [len(x) for x in a])
     tb, rb = np.concatenate(b), np.repeat(np.arange(len(b)), [len(x) for x in b])
-    both = np.intersect1d(ta, tb)
-    out = np.zeros((len(a), len(b)), np.float32)
+    if a is b:
+        both, n = np.unique(ta, return_counts=True)
+        both = both[n > 1]
+    else:
+        both = np.intersect1d(ta, tb)
     for at in range(0, len(both), columns):
         part = both[at : at + columns]
         sides = []
@@ -215,121 +187,169 @@ def _shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096
             ones = np.zeros((n, len(part)), np.float32)
             ones[rows[held], place[held]] = 1
             sides.append(ones)
+            if a is b:
+                sides.append(ones)
+                break
         out += sides[0] @ sides[1].T
     return out.astype(np.int64)
 
 
-def _compare(t: Fraction, pairs: bool):
-    """All links of the pairs of blocks that lie together in a partition: the pairs, or the number of links of each class."""
-
-    def linked(rows: list[tuple], lo: int, hi: int) -> list[np.ndarray]:
-        left, right = [r for r in rows if r[3] == lo], [r for r in rows if r[3] == hi]
-        if not left or not right:
-            return [np.empty(0, np.int64)] * (3 if pairs else 2)
-        sets_a = [unpack_sorted(r[6]) for r in left]
-        shared = _shared_counts(sets_a, sets_a if lo == hi else [unpack_sorted(r[6]) for r in right])
-        (ra, sa), (rb, sb) = (np.array([r[4:6] for r in side], np.int64).T for side in (left, right))
-        hit = t.denominator * shared >= t.numerator * (sa[:, None] + sb[None, :] - shared)
-        hit &= ra[:, None] != rb[None, :]
-        if pairs:
-            i, j = np.nonzero(np.triu(hit) if lo == hi else hit)
-            return [np.minimum(ra[i], rb[j]), np.maximum(ra[i], rb[j]), shared[i, j]]
+def _forest(hit: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest links that join what ``hit`` (rows u, columns v) joins: each node with a root."""
+    rows, left, right = np.flatnonzero(hit.any(1)), [], []
+    open_row = np.zeros(len(u), bool)
+    open_row[rows] = True
+    for i in rows:
+        if not open_row[i]:
+            continue
+        tree, columns = np.array([i]), np.zeros(len(v), bool)
+        open_row[i] = False
+        members = [tree]
+        while len(tree):
+            new = hit[tree].any(0) & ~columns
+            columns |= new
+            tree = np.flatnonzero(hit[:, new].any(1) & open_row)
+            open_row[tree] = False
+            members.append(tree)
+        nodes = np.concatenate([u[np.concatenate(members)], v[columns]])
+        left.append(nodes)
+        right.append(np.full(len(nodes), u[i]))
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    left, right = np.concatenate(left), np.concatenate(right)
+    return left[left != right], right[left != right]
+
+
+def _compare(t: Fraction, orders: int, pairs: bool):
+    """Links of the pairs of blocks that lie together in a partition: the pairs, or a forest of them (kind 0) and each class's number (kind 1)."""
+
+    def linked(rows: list[tuple]) -> list[np.ndarray]:
+        leader, lo, hi = rows[0][:3]
+        left = [r for r in rows if r[3] == lo]
+        right = left if lo == hi else [r for r in rows if r[3] == hi]
+        nothing = [np.empty(0, np.int64)] * 3
+        if not left or not right or (lo == hi and len(left) < 2):
+            return nothing
+
+        def sides(value, rows_of, columns_of):
+            """Both sides' arrays; the same list where the sides are one, as that is cheaper to count."""
+            a = [value(left[i]) for i in rows_of]
+            return (a, a) if lo == hi and rows_of is columns_of else (a, [value(right[j]) for j in columns_of])
+
+        all_rows = np.arange(len(left))
+        all_columns = all_rows if lo == hi else np.arange(len(right))
+        ra, sa = np.array([r[4:6] for r in left], np.int64).T
+        rb, sb = np.array([r[4:6] for r in right], np.int64).T
+        least = np.minimum(sa[:, None], sb[None, :])
+        may = (t.denominator * least >= t.numerator * np.maximum(sa[:, None], sb[None, :])) & (ra[:, None] != rb[None, :])
         if lo == hi:
-            return [ra, hit.sum(1)]
-        return [np.concatenate([ra, rb]), np.concatenate([hit.sum(1), hit.sum(0)])]
+            may = np.triu(may, 1)
+        for k in range(orders):
+            if not may.any():
+                return nothing
+            may &= _shared_counts(*sides(lambda r, k=k: unpack_sorted(r[7][k]), all_rows, all_columns)) > 0
+        lesser = sides(lambda r: np.array([x for x in r[8] if x < leader], np.int64), all_rows, all_columns)
+        if any(len(x) for x in lesser[0]) and any(len(x) for x in lesser[1]):
+            may &= _shared_counts(*lesser) == 0
+        i, j = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        if not len(i):
+            return nothing
+        if lo == hi:
+            i = j = np.union1d(i, j)
+        shared = _shared_counts(*sides(lambda r: unpack_sorted(r[6]), i, j))
+        may, sa, sb, ra, rb = may[np.ix_(i, j)], sa[i], sb[j], ra[i], rb[j]
+        hit = may & (t.denominator * shared >= t.numerator * (sa[:, None] + sb[None, :] - shared))
+        if pairs:
+            x, y = np.nonzero(hit)
+            return [np.minimum(ra[x], rb[y]), np.maximum(ra[x], rb[y]), shared[x, y]]
+        u, v = _forest(hit, ra, rb)
+        n = np.concatenate([hit.sum(1), hit.sum(0)])
+        nodes, n = np.concatenate([ra, rb])[n > 0], n[n > 0]
+        return [np.repeat([0, 1], [len(u), len(nodes)]), np.concatenate([u, nodes]), np.concatenate([v, n])]
 
-    names = ["u", "v", "n_shared"] if pairs else ["u", "n"]
+    names = ["u", "v", "n_shared"] if pairs else ["kind", "u", "v"]
 
     def run(batches):
         held: list[tuple] = []
         done: list[list[np.ndarray]] = []
         size = 0
-        for batch in batches:
+
+        def given():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*done, strict=True)], names)
+
+        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[-1][:3] != row[:3]:
-                    done.append(linked(held, *held[0][1:3]))
+                    done.append(linked(held))
                     held, size = [], size + len(done[-1][0])
-                    if size > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*done, strict=True)], names)
+                    if size > 100_000 or len(done) > 2_000:
+                        yield given()
                         done, size = [], 0
                 held.append(row)
         if held:
-            done.append(linked(held, *held[0][1:3]))
+            done.append(linked(held))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*done, strict=True)], names)
+            yield given()
+        held.clear()
+        release()
 
     return run
 
 
-def _all_links(final: DataFrame, reps: DataFrame, t: Fraction, block: int, pairs: bool) -> DataFrame:
-    """Links within components (node, component): u, v, n_shared for each, or u, n by block."""
-    cuts = final.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("component", "comp")
-    rows = final.join(cuts, F.col("component") == F.col("comp")).select("comp", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    dealt = rows.select("comp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node")
-    dealt = dealt.join(reps, F.col("node") == F.col("rep")).select("comp", "lo", "hi", "own", "rep", "n_shingles", "tokens")
-    dealt = dealt.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    return dealt.mapInArrow(_compare(t, pairs), "u long, v long, n_shared long" if pairs else "u long, n long")
-
-
-def _joined(docs: DataFrame, n: int, t: Fraction, orders: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Sets, classes, the candidates' sets (rep, n_shingles, tokens) and the components of linked classes (node, component)."""
-    spark = docs.sparkSession
+def _classes(docs: DataFrame, n: int, t: Fraction, orders: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, classes (hi, lo, rep) and the candidates among the classes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    counted = rows.mapInArrow(_chunks(n, chunk_bytes, width(spark)), ROW).groupBy("shard").applyInArrow(_count, ROW)
+    counted = rows.mapInArrow(_chunks(n, chunk_bytes, shards_for(docs)), ROW).groupBy("shard").applyInArrow(_count, ROW)
     sets = written(counted.groupBy("chunk").applyInArrow(_assemble, SETS), "shingle-sets")
-
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "set-classes")
     keys = classes.select(F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), "rep")
     same = (F.col("hi") == F.col("c_hi")) & (F.col("lo") == F.col("c_lo")) & (F.col("doc_id") == F.col("rep"))
-    reps = sets.where("n_shingles > 0").join(keys, same).select("rep", "n_shingles", "tokens", "freq").dropDuplicates(["rep"])
-
-    grams = reps.mapInArrow(_prefixes(t, orders), "order int, token long, rep long, size long, shared long")
-    #: Buckets of one class make no pair and go at once.
-    grams = written(grams, "prefixes")
-    lead = F.min(F.struct(((F.col("size") - F.col("shared")) / F.col("size")).alias("alone"), "rep"))
-    bucket = grams.groupBy("order", "token").agg(lead.alias("lead"), F.min("rep").alias("least"), F.max("rep").alias("last")).where("least < last")
-    bucket = bucket.select(F.col("order").alias("b_order"), F.col("token").alias("b_token"), F.col("lead.rep").alias("leader"))
-    grams = written(grams.join(bucket, (F.col("order") == F.col("b_order")) & (F.col("token") == F.col("b_token"))).select("order", "token", "rep", "size", "shared", "leader"), "buckets")
-    reps = written(reps.join(grams.select(F.col("rep").alias("used")).distinct(), F.col("rep") == F.col("used"), "left_semi").select("rep", "n_shingles", "tokens"), "candidates")
-
-    met = grams.where("order = 0 and rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("times"))
-    best = met.groupBy("rep").agg(F.max(F.struct("times", (-F.col("leader")).alias("minus"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.minus")).alias("b"))
-    star = written(_links(best, reps, t), "star-links")
-    first = written(connected_components(star), "star-components")
-
-    component = first.select(F.col("node").alias("c_node"), F.col("component").alias("c_of"))
-    grams = grams.drop("leader").join(component, F.col("rep") == F.col("c_node"), "left").select("order", "token", "rep", "size", "shared", F.coalesce("c_of", "rep").alias("comp"))
-    grams = written(grams, "buckets")
-    grams = grams.join(_feasible(grams, t), ["order", "token", "size", "shared"], "left_semi").select("order", "token", "rep", "size", "shared", "comp")
-    sizes = grams.groupBy("order", "token", "comp").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("order", "token").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    largest = largest.select(F.col("order").alias("l_order"), F.col("token").alias("l_token"), F.col("top.comp").alias("top"))
-    mixed = written(grams.join(largest, (F.col("order") == F.col("l_order")) & (F.col("token") == F.col("l_token"))).select("order", "token", "rep", "size", "shared", "comp", "top"), "mixed-buckets")
-    few = mixed.where("comp <> top").select("order", "token", F.col("rep").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("ma"), F.col("comp").alias("ca"))
-    every = mixed.select(F.col("order").alias("o"), F.col("token").alias("t"), F.col("rep").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("mb"), F.col("comp").alias("cb"), "top")
-    near = _reachable(F.col("sa"), F.col("ma"), F.col("sb"), F.col("mb"), t)
-    once = (F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))
-    pairs = few.join(every, (F.col("order") == F.col("o")) & (F.col("token") == F.col("t")) & (F.col("ca") != F.col("cb")) & near & once)
-    pairs = pairs.select("order", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("under")).where(F.col("under") == orders)
-    more = written(_links(pairs, reps, t), "more-links")
-
-    whole = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
-    return sets, classes, reps, written(connected_components(whole).select("node", "component"), "components")
-
-
-def similarity_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", orders: int = 2, chunk_bytes: int = 6 << 20, block: int = 512) -> DataFrame:
+    one = sets.where("n_shingles > 0").join(keys, same).dropDuplicates(["rep", "hi", "lo"]).select("rep", "n_shingles", "tokens", "freq")
+    return sets, classes, written(one.mapInArrow(_prefixes(t, orders), CANDIDATES), "candidates")
+
+
+def _dealt(found: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """Every pair of blocks of every leader's group, the classes of both together."""
+    grams = found.select(
+        "rep",
+        F.octet_length("tokens").alias("weight"),
+        (F.lit(1.0) - F.size("keys") / F.col("n_shingles")).alias("alone"),
+        F.explode("keys").alias("token"),
+    )
+    bucket = grams.groupBy("token").agg(F.min(F.struct("alone", "rep")).alias("lead"), F.min("rep").alias("least"), F.max("rep").alias("last")).where("least < last")
+    bucket = bucket.select(F.col("token").alias("b_token"), F.col("lead.rep").alias("leader"))
+    members = grams.join(bucket, F.col("token") == F.col("b_token")).groupBy("leader", "rep").agg(F.max("weight").alias("weight"))
+    members = written(members, "groups")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("weight") / block_bytes)).cast("int")
+    cuts = members.groupBy("leader").agg(blocks.alias("blocks")).withColumnRenamed("leader", "of")
+    rows = members.join(cuts, F.col("leader") == F.col("of")).select("leader", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
+    dealt = rows.select("leader", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("leader", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep")
+    leaders = members.groupBy(F.col("rep").alias("l_rep")).agg(F.collect_set("leader").alias("leaders"))
+    sets = found.drop("keys").join(leaders, F.col("rep") == F.col("l_rep")).withColumnRenamed("rep", "s_rep")
+    return dealt.join(sets, F.col("rep") == F.col("s_rep")).select("leader", "lo", "hi", "own", "rep", "n_shingles", "tokens", "prefixes", "leaders")
+
+
+def _compared(found: DataFrame, t: Fraction, orders: int, block: int, block_bytes: int, pairs: bool) -> DataFrame:
+    dealt = _dealt(found, block, block_bytes).repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi")
+    return dealt.mapInArrow(_compare(t, orders, pairs), "u long, v long, n_shared long" if pairs else "kind long, u long, v long")
+
+
+def similarity_components(
+    docs: DataFrame, n: int = 5, threshold: str = "0.8", orders: int = 2, chunk_bytes: int = 6 << 20, block: int = 512, block_bytes: int = 4 << 20
+) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links.
 
     ``threshold`` is a decimal or a fraction, taken exactly.  ``n_links`` is the number of other classes, that is of other sets of shingles, that
     link with the row's class; copies of one set are no links.
     """
     t = Fraction(threshold)
-    sets, classes, reps, final = _joined(docs, n, t, orders, chunk_bytes)
-    degree = _all_links(final, reps, t, block, False).groupBy("u").agg(F.sum("n").alias("n_links"))
-    final = final.join(degree, F.col("node") == F.col("u"), "left").select("node", "component", "n_links")
+    sets, classes, found = _classes(docs, n, t, orders, chunk_bytes)
+    links = written(_compared(found, t, orders, block, block_bytes, False), "set-links")
+    component = connected_components(links.where("kind = 0").select("u", "v")).select("node", "component")
+    degree = links.where("kind = 1").groupBy("u").agg(F.sum("v").alias("n_links"))
+    final = component.join(degree, F.col("node") == F.col("u")).select("node", "component", "n_links")
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select(
         F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
@@ -338,8 +358,10 @@ def similarity_components(docs: DataFrame, n: int = 5, threshold: str = "0.8", o
     return out.select("doc_id", "n_shingles", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def similarity_links(docs: DataFrame, n: int = 5, threshold: str = "0.8", orders: int = 2, chunk_bytes: int = 6 << 20, block: int = 512) -> DataFrame:
+def similarity_links(
+    docs: DataFrame, n: int = 5, threshold: str = "0.8", orders: int = 2, chunk_bytes: int = 6 << 20, block: int = 512, block_bytes: int = 4 << 20
+) -> DataFrame:
     """One row per link between two classes: u < v (the smallest doc_id of each class) and n_shared, the shingles that both hold."""
     t = Fraction(threshold)
-    _, _, reps, final = _joined(docs, n, t, orders, chunk_bytes)
-    return _all_links(final, reps, t, block, True)
+    _, _, found = _classes(docs, n, t, orders, chunk_bytes)
+    return _compared(found, t, orders, block, block_bytes, True)
