@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.text import WordCoder, plain_words, shingles
+from quillon.llm.text import WordCoder, plain_words, release, shingles
 
 MATCH = "doc_id long, item_id long, n_shared long, n_item long, containment double"
 
@@ -170,6 +170,8 @@ def find_contained(
                         [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
                         ["doc_id", "item_id", "n_shared", "n_item", "containment"],
                     )
+            del coder
+            release()
 
         return run
 
@@ -191,6 +193,8 @@ def drop_contaminated(
                     w = plain_words(text.as_py())
                     keep.append(not w or not table.found(coder.hashed(w)))
                 yield batch.filter(pa.array(keep, pa.bool_()))
+            del coder
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.exchange import ROW, shard_cuts, summed
-from quillon.llm.shared import width, written
+from quillon.llm.exchange import ROW, shard_cuts, shards_for, summed
+from quillon.llm.shared import written
 from quillon.llm.text import WordCoder, in_chunks, mix, pack, pack_sorted, release, unpack, unpack_sorted, words
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -212,8 +212,7 @@ def score_documents(
     mu: float = 16.0,
 ) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text); ``train`` is a boolean column of it that marks the rows to learn from."""
-    spark = docs.sparkSession
-    shards = width(spark)
+    shards = shards_for(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     sent = rows.mapInArrow(_chunks(chunk_bytes, shards), ROW)
     table = written(sent.groupBy("shard").applyInArrow(_shard(hashes, base, bits_per_level), ROW), "lm-counts")

@@ -19,6 +19,7 @@ Nulls and ties: a null or empty text has no tokens, prior posteriors and the rat
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,8 +78,8 @@ def rate_of(steps: list[list[float]], n: int, least: float, most: float) -> Colu
     return F.aggregate(path, start, lambda x, s: F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), x - sum(s[i] * F.col(f"p{i}") for i in range(n)))))
 
 
-def fit_rates(table: DataFrame, n: int, targets: list[float], least: float = 0.0, most: float = 8.0, rounds: int = 40, close: float = 1e-7) -> list[list[float]]:
-    """Gradient steps for ``rate_of``. table: n_tokens, p0.. ; targets: token totals."""
+def fit_rates(table: DataFrame, n: int, targets: list[float], least: float = 0.0, most: float = 8.0, rounds: int = 100, close: float = 1e-7) -> list[list[float]]:
+    """Gradient steps for ``rate_of``. table: n_tokens, p0.. ; targets: token totals. A fit that ``rounds`` steps do not settle is warned of."""
     mass = table.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)) for i in range(n)]).first()
     w = [1 / m if m > 0 else 0.0 for m in mass]
     steps: list[list[float]] = []
@@ -92,6 +93,8 @@ def fit_rates(table: DataFrame, n: int, targets: list[float], least: float = 0.0
         before = loss
         #: The largest eigenvalue of the scaled problem is 1 (rows of posteriors add up to 1), so the step is 1.
         steps.append([w[i] * (got[i] - targets[i]) for i in range(n)])
+    else:
+        warnings.warn(f"rates did not settle in {rounds} steps", stacklevel=2)
     return steps
 
 
