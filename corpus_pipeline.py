@@ -15,6 +15,10 @@ from quillon.llm import contamination, jaccard, mixing, queries, tokens, toxicit
 from quillon.llm.shared import table, written
 
 
+#: Tokens of the mixture as a multiple of what the stages before keep.
+BUDGET = 1.1
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
     model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -34,9 +38,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_to_target(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat by their fitted rate; the least rate is 1, so that none is lost. Domains are learned from all labelled rows, also those dropped before."""
+    """Documents repeat by their fitted rate; the least rate is 1, so that none is lost. Domains are learned from all labelled rows, also those dropped before.
+
+    Toxic documents went in the first stage, so that domain's target is none and the others share ``BUDGET`` times the tokens that are left.
+    """
     learn = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = mixing.mix(docs, queries.labelled_domains(spark, sf_dir), queries.TARGETS, budget=1.1, least=1.0, most=4.0, learn=learn)
+    targets = queries.TARGETS | {"toxic": 0.0}
+    mixed = mixing.mix(docs, queries.labelled_domains(spark, sf_dir), targets, budget=BUDGET, least=1.0, most=4.0, learn=learn)
     return mixing.repeated(mixed, docs.columns)
 
 
