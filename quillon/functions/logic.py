@@ -90,3 +90,22 @@ def has_flag(a: Any, flag: int) -> Column:
 
 def typed_null(kind: str) -> Column:
     return F.lit(None).cast(kind)
+
+
+def count_in(values: list, predicate) -> Column:
+    """How many members of an inline list the predicate (a function of a column) holds for, row by row."""
+    if not values:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(col, values)), lambda v: F.coalesce(predicate(v), F.lit(False))))
+
+
+def serialised(values: list | None) -> str | None:
+    """A whole collection as the text that a collection column keeps."""
+    import json
+
+    return None if values is None else json.dumps(values, separators=(",", ":"))
+
+
+def collection_equal(c: Column, values: list | None) -> Column:
+    """Whether a collection column (text) is the whole list ``values``."""
+    return c.eqNullSafe(F.lit(serialised(values)))

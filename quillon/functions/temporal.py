@@ -44,6 +44,11 @@ def date_diff(part: str, a: Column, b: Column) -> Column:
     return unit(b) - unit(a)
 
 
+def date_only_add(part: str, n: Any, x: Column) -> Column:
+    """``date_add`` of a date, as a date."""
+    return F.to_date(date_add(part, n, x.cast("timestamp")))
+
+
 def date_of(x: Column) -> Column:
     return F.date_trunc("DAY", x)
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from contextlib import contextmanager
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,16 +78,26 @@ class Model:
     def __init__(self, **sources: DataFrame) -> None:
         self.sources, self.filters = sources, {}
 
-    def filter(self, name: str, condition: Column) -> Model:
+    def filter(self, name: str, condition: Column | Callable[..., Column]) -> Model:
+        """A condition, or a function of parameters that gives one."""
         self.filters[name] = condition
         return self
 
-    def read(self, name: str, unfiltered: bool = False) -> DataFrame:
+    def read(self, name: str, unfiltered: bool = False, **parameters: Any) -> DataFrame:
         df = self.sources[name]
-        return df if unfiltered or name not in self.filters else df.where(self.filters[name])
-
-
-def tagged(df: DataFrame, tag: str) -> DataFrame:
-    """Jobs of this query show the tag."""
-    df.sparkSession.sparkContext.setJobDescription(tag)
-    return df
+        if unfiltered or name not in self.filters:
+            return df
+        condition = self.filters[name]
+        return df.where(condition if isinstance(condition, Column) else condition(**parameters))
+
+
+@contextmanager
+def tagged(spark: SparkSession, tag: str):
+    """Jobs that run within the block show the tag; the description before comes back after it."""
+    context = spark.sparkContext
+    before = context.getLocalProperty("spark.job.description")
+    context.setLocalProperty("spark.job.description", tag)
+    try:
+        yield
+    finally:
+        context.setLocalProperty("spark.job.description", before)

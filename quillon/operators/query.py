@@ -6,6 +6,7 @@ them round, and are applied when a limit, an offset or the end needs them.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
 from typing import Any
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import stats
+from quillon.options import current
 
 
 class QueryError(ValueError):
@@ -22,7 +24,7 @@ class QueryError(ValueError):
 
 class Query:
     def __init__(self, df: DataFrame, order: list[tuple[Column, bool]] | None = None) -> None:
-        self._df, self._order = df, order or []
+        self._df, self._order, self._skipped = df, order or [], False
 
     # sources
 
@@ -47,6 +49,11 @@ class Query:
 
     @property
     def df(self) -> DataFrame:
+        if self._skipped:
+            raise QueryError("a skip needs a take")
+        return self._page()
+
+    def _page(self) -> DataFrame:
         if not self._order:
             return self._df
         return self._df.orderBy(*[c.desc_nulls_last() if d else c.asc_nulls_first() for c, d in self._order])
@@ -133,11 +140,14 @@ class Query:
 
     def take(self, n: int) -> Query:
         _whole(n)
-        return Query(self.df.limit(n))
+        return Query(self._page().limit(n))
 
     def skip(self, n: int) -> Query:
+        """Rows after the first ``n``. Where the options forbid a skip alone, a take must follow."""
         _whole(n)
-        return Query(self.df.offset(n))
+        out = Query(self.df.offset(n))
+        out._skipped = not current().skip_alone
+        return out
 
     def reverse(self) -> Query:
         if not self._order:
@@ -211,16 +221,21 @@ class Grouped:
         return Query(self._df.withColumn("rank__", F.row_number().over(w)).where(F.col("rank__") <= n).drop("rank__"))
 
 
-def prepared(build: Callable[..., Query]) -> Callable[..., Query]:
-    """A query with parameters whose plan for the same parameters is made once."""
-    made: dict = {}
+def prepared(build: Callable[..., Query], keep: int = 64) -> Callable[..., Query]:
+    """A query with parameters whose plan for the same parameters is made once; the ``keep`` plans used last are kept."""
+    made: OrderedDict = OrderedDict()
 
     def run(*args: Any, **kwargs: Any) -> Query:
         key = (args, tuple(sorted(kwargs.items())))
         if key not in made:
             made[key] = build(*args, **kwargs)
+        made.move_to_end(key)
+        if len(made) > keep:
+            made.popitem(last=False)
         return made[key]
 
+    run.made = made
+
     return run
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.options import current
+
 #: Store type names by the type that holds them.
 NAMES: dict[type[T.DataType] | T.DataType, tuple[str, ...]] = {
     T.BooleanType(): ("bit", "boolean", "logical", "logical1", "yesno"),
@@ -47,6 +49,8 @@ def store_type(text: str) -> T.DataType:
         raise ValueError(f"unknown store type: {name!r}")
     if name in ("decimal", "numeric", "dec") and a:
         return T.DecimalType(int(a), int(b or 0))
+    if name in ("varchar", "string", "char varying", "character varying", "nvarchar") and not a and current().short_text:
+        return T.VarcharType(255)
     return _BY_NAME[name]
 
 

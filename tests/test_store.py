@@ -32,7 +32,8 @@ def test_update_and_delete(store):
     assert {r.Id: r.Total and float(r.Total) for r in store.table("Orders").collect()} == {1: None, 2: 20.0, 3: None}
     assert store.execute("DELETE FROM `Customers` WHERE EXISTS (SELECT 1 FROM `Orders` AS `o` WHERE `o`.`CustomerId` = `Customers`.`Id` AND `o`.`Total` IS NULL)") == 1
     assert names(store) == [(2, "it's!")]
-    assert store.delete("Customers", "Id = 2") == 1 and sorted(r.Id for r in store.table("Orders").collect()) == [1, 3]
+    assert sorted(r.Id for r in store.table("Orders").collect()) == [2, 3]
+    assert store.delete("Customers", "Id = 2") == 1 and [r.Id for r in store.table("Orders").collect()] == [3]
 
 
 def test_concurrency_check(store):
@@ -81,3 +82,50 @@ def test_migrations_run_once(store):
     store.drop()
     with pytest.raises(StoreError):
         Store(store.spark, store.root)
+
+
+def test_cascades_reach_every_depth_and_set_null(store):
+    store.execute("CREATE TABLE `Staff` (`Id` integer PRIMARY KEY, `Boss` integer)")
+    store.insert("Staff", [{"Id": 1, "Boss": None}, {"Id": 2, "Boss": 1}, {"Id": 3, "Boss": 2}, {"Id": 4, "Boss": None}])
+    store.execute("CREATE TABLE `Desk` (`Id` integer PRIMARY KEY, `Owner` integer, CONSTRAINT `FD` FOREIGN KEY (`Owner`) REFERENCES `Staff` (`Id`) ON DELETE SET NULL)")
+    store.insert("Desk", [{"Id": 1, "Owner": 3}, {"Id": 2, "Owner": 4}])
+    store.add_foreign_key("FB", "Staff", ["Boss"], "Staff", ["Id"], "CASCADE")
+    assert store.execute("DELETE FROM `Staff` WHERE `Id` = 1") == 1
+    assert [r.Id for r in store.table("Staff").collect()] == [4] and sorted((r.Id, r.Owner) for r in store.table("Desk").collect()) == [(1, None), (2, 4)]
+
+
+def test_a_referenced_key_cannot_change_or_go(store):
+    store.execute("ALTER TABLE `Orders` DROP CONSTRAINT `FK`; ALTER TABLE `Orders` ADD CONSTRAINT `FK2` FOREIGN KEY (`CustomerId`) REFERENCES `Customers` (`Id`)")
+    for bad in ("UPDATE `Customers` SET `Id` = 11 WHERE `Id` = 1", "DELETE FROM `Customers` WHERE `Id` IN (SELECT `CustomerId` FROM `Orders`)"):
+        with pytest.raises(StoreError):
+            store.execute(bad)
+    assert names(store) == [(1, "a;b"), (2, "it's")]
+
+
+def test_update_over_several_joins_and_delete_over_a_page(store):
+    store.execute("CREATE TABLE `Rates` (`Name` varchar(40), `Id` integer, `Rate` integer)")
+    store.insert("Rates", [{"Name": "a;b", "Id": 1, "Rate": 3}, {"Name": "it's", "Id": 1, "Rate": 5}])
+    assert store.execute("UPDATE `Orders` AS `o` INNER JOIN `Customers` AS `c` ON `o`.`CustomerId` = `c`.`Id` LEFT JOIN `Rates` AS `r` ON `r`.`Name` = `c`.`Name` AND `r`.`Id` = `c`.`Id` SET `o`.`Total` = `r`.`Rate` * 2") == 2
+    assert {r.Id: r.Total and float(r.Total) for r in store.table("Orders").collect()} == {1: 6.0, 2: None, 3: None}
+    assert store.execute("DELETE FROM `Orders` WHERE `Id` IN (SELECT `x`.`Id` FROM (SELECT TOP 2 `Id` FROM `Orders` ORDER BY `Id` DESC) AS `x`)") == 2
+    assert [r.Id for r in store.table("Orders").collect()] == [1]
+
+
+def test_inserts_append_and_number_in_order(store):
+    rows = store.spark.range(1000).selectExpr("concat('n', lpad(id, 4, '0')) as Name").repartition(7)
+    assert store.insert("Customers", rows) == 1000 and store.identity == 1002
+    got = sorted((r.Id, r.Name) for r in store.table("Customers").collect())[2:]
+    assert got == [(i + 3, f"n{i:04d}") for i in range(1000)]
+    assert len(store._state()["tables"]["Customers"]["parts"]) == 3
+
+
+def test_databases_and_scaffold(store, tmp_path):
+    from quillon.plans.statements import database
+
+    made = database(store.spark, f"CREATE DATABASE 'file://{tmp_path}/other'")
+    assert made.tables() == []
+    database(store.spark, f"DROP DATABASE 'file://{tmp_path}/other'")
+    assert not made.exists()
+    model = store.scaffold()
+    assert model["Orders"]["primary_key"] == ["Id"] and model["Orders"]["references"] == {"FK": "Customers"} and model["Customers"]["collections"] == {"FK": "Orders"}
+    assert [c["nullable"] for c in model["Customers"]["columns"]] == [False, False, True] and model["Orders"]["foreign_keys"]["FK"]["on_delete"] == "CASCADE"
