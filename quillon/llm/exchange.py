@@ -35,7 +35,12 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def shards_for(docs: DataFrame, shard_bytes: int = 64 << 20) -> int:
-    """Shards of about ``shard_bytes`` of the input's files, and no fewer than the session's shuffle partitions (all there are where sizes are unknown)."""
+    """Shards of about ``shard_bytes`` of the input's files, and no fewer than the session's shuffle partitions."""
+    return max(width(docs.sparkSession), input_bytes(docs) // shard_bytes)
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes of the files that ``docs`` reads; relations of unknown size count as nothing."""
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return max(width(docs.sparkSession), sum(s for s in sizes if s < 1 << 62) // shard_bytes)
+    return sum(s for s in sizes if s < 1 << 62)

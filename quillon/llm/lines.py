@@ -1,20 +1,22 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of line hashes, dealt by hash and sorted, with the number of documents that hold the line
-and the largest ``doc_id`` among them.  Each batch of documents becomes one run of level 0: a merge join against the runs
-so far tells its unseen hashes (``fresh``: the anti-join) from the others, and all of them are added with their own counts.
-Counts need every hash of every batch, so ``fresh`` is for information: no step of the deduplication reads it.
-When a level holds ``fanout`` runs they are merged into one of the next level, so a batch meets
-few runs however many came before.  A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-Z lower-cased; keys are
+Each batch of documents is counted by line hash and merge-joined with the runs so far.  The join decides where a hash goes: unseen ones (the anti-join) are
+the batch's own run, so runs never share a hash; those that a run holds already are kept beside it as additions (more documents, a larger
+last doc_id).  Runs are tables bucketed and sorted by hash, so they are neither shuffled nor summed again when a batch meets them; only the additions, hashes
+that more than one batch holds, are summed at the end.  When a level holds ``fanout`` runs they are merged into one of the next level, so a batch
+meets few runs however many came before.  A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-Z lower-cased; keys are
 compared by 128-bit hashes.
 
-Nulls and ties: a null or empty text is one empty line; every row counts as a document of its own, and of rows that share the
-largest ``doc_id`` all keep the line; a row without ``doc_id`` counts as the smallest.  An empty table gives no rows.
+Very common lines: at most ``HOT`` hashes can hold a ``1 / HOT`` share of all lines; those are broadcast, so no key of a join has more than that share.
+
+Nulls and ties: a null or empty text is one empty line; rows that share a ``doc_id`` are one document, rows without one are one document with the smallest, and
+of rows that share the largest ``doc_id`` all keep the line.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.exchange import input_bytes
 from quillon.llm.shared import drop_path, new_path, width, written
 
 _SPACE = " \t\n\x0b\x0c\r"
 _LOW = -(2**63)
-RUN = "hi long, lo long, n_docs long, last_doc long, fresh boolean"
+RUN = "hi long, lo long, n_docs long, last_doc long"
+HOT = 10_000
 
 
 def _keys(lines: pa.Array) -> pa.Array:
@@ -68,57 +72,74 @@ def line_hashes(docs: DataFrame, min_chars: int, batches: int = 1) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled store. Its runs are tables under the session's shared folder."""
+    """The levelled store. Its runs are bucketed tables under the session's shared folder; ``drop`` removes them."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None) -> None:
         self.spark, self.fanout, self.buckets = spark, fanout, buckets or width(spark)
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _save(self, rows: DataFrame) -> str:
+        """A run: its own hashes (``known`` false) and its additions to earlier runs (``known`` true), as two partitions."""
         path = new_path(self.spark, "line-run")
-        rows.repartition(self.buckets, "hi", "lo").sortWithinPartitions("hi", "lo").write.parquet(path)
-        return path
-
-    def tables(self) -> list[DataFrame]:
-        return [self._run(path) for level in self.levels for path in level]
-
-    def _run(self, path: str) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(path)
+        name = "quillon_" + path.rpartition("/")[2].replace("-", "_")
+        rows = rows.select("hi", "lo", "n_docs", "last_doc", "known").repartition(self.buckets, "hi", "lo")
+        rows.write.partitionBy("known").bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").option("path", path).saveAsTable(name)
+        self.paths[name] = path
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(self.spark, self.paths.pop(name))
+
+    def drop(self) -> None:
+        for name in list(self.paths):
+            self._drop(name)
+        self.levels = []
+
+    def _rows(self, name: str, known: bool) -> DataFrame:
+        return self.spark.table(name).where(F.col("known") == known).select("hi", "lo", "n_docs", "last_doc")
+
+    def runs(self) -> list[DataFrame]:
+        """Disjoint by hash."""
+        return [self._rows(name, False) for level in self.levels for name in level]
+
+    def additions(self) -> DataFrame:
+        """What later batches add to hashes of earlier ones, one row a hash."""
+        names = [name for level in self.levels for name in level]
+        if not names:
+            return self.spark.createDataFrame([], RUN)
+        return _summed(reduce(DataFrame.unionByName, [self._rows(name, True) for name in names]))
 
     def merged(self) -> DataFrame:
         """One row a line hash over all runs."""
-        runs = self.tables()
+        runs = self.runs()
         if not runs:
             return self.spark.createDataFrame([], RUN)
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        return _summed(rows)
+        more = written(self.additions(), "line-additions")
+        more = more.select("hi", "lo", F.col("n_docs").alias("more"), F.col("last_doc").alias("later"))
+        n = (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs")
+        last = F.greatest("last_doc", F.coalesce("later", "last_doc")).alias("last_doc")
+        return reduce(DataFrame.unionByName, [r.join(more, ["hi", "lo"], "left").select("hi", "lo", n, last) for r in runs])
 
     def add(self, hashes: DataFrame) -> None:
         """A batch (hi, lo, doc_id) becomes a run; full levels are compacted."""
-        batch = hashes.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        known = self.tables()
-        if known:
-            seen = known[0].select("hi", "lo")
-            for r in known[1:]:
-                seen = seen.unionByName(r.select("hi", "lo"))
-            seen = seen.distinct().withColumn("known", F.lit(True))
-            batch = batch.join(seen.hint("merge"), ["hi", "lo"], "left").select("hi", "lo", "n_docs", "last_doc", F.col("known").isNull().alias("fresh"))
-        else:
-            batch = batch.withColumn("fresh", F.lit(True))
-        run = self._save(batch)
+        batch = hashes.groupBy("hi", "lo").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        known = F.lit(False)
+        for i, run in enumerate(self.runs()):
+            batch = batch.join(run.select("hi", "lo", F.lit(True).alias(f"in_{i}")).hint("merge"), ["hi", "lo"], "left")
+            known = known | F.col(f"in_{i}").isNotNull()
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(run)
+        self.levels[0].append(self._save(batch.withColumn("known", known)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            rows = self._run(self.levels[level][0])
-            for path in self.levels[level][1:]:
-                rows = rows.unionByName(self._run(path))
-            whole = self._save(_summed(rows))
-            for path in self.levels[level]:
-                drop_path(self.spark, path)
+            names = self.levels[level]
+            own = reduce(DataFrame.unionByName, [self._rows(name, False) for name in names]).withColumn("known", F.lit(False))
+            more = _summed(reduce(DataFrame.unionByName, [self._rows(name, True) for name in names])).withColumn("known", F.lit(True))
+            whole = self._save(own.unionByName(more))
+            for name in names:
+                self._drop(name)
             self.levels[level] = []
             if len(self.levels) == level + 1:
                 self.levels.append([])
@@ -127,23 +148,30 @@ class LineRuns:
 
 
 def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.bool_or("fresh").alias("fresh"))
+    return rows.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int | None = None, fanout: int = 3, batch_bytes: int = 256 << 30) -> DataFrame:
     """Kept text of every row: doc_id, kept, n_lines, n_dropped.
 
-    Lines whose key has ``min_chars`` code points and stands in ``min_docs`` rows or more go, except in the largest doc_id
-    that holds it.  Documents arrive in ``batches`` by a hash of their id.
+    Lines whose key has ``min_chars`` code points and stands in ``min_docs`` documents or more go, except in the largest doc_id
+    that holds it.  Documents arrive in ``batches`` by a hash of their id: by default as many as hold ``batch_bytes`` of files each, four at least.
     """
     spark = docs.sparkSession
-    hashes = written(line_hashes(docs, min_chars, batches), "line-hashes")
+    batches = batches or max(4, -(-input_bytes(docs) // batch_bytes))
+    hashes = written(line_hashes(docs, min_chars, batches), "line-hashes", partition_by="batch")
     runs = LineRuns(spark, fanout)
     for b in range(batches):
         runs.add(hashes.where(F.col("batch") == b).select("hi", "lo", "doc_id"))
-    common = runs.merged().where(F.col("n_docs") >= min_docs).select("hi", "lo", "last_doc")
-    #: What each document loses; a line that a third of all documents hold is one of the keys that adaptive joins split.
-    lost = hashes.join(common, ["hi", "lo"]).where("doc_id < last_doc").select("doc_id", "hi", "lo")
+    common = written(runs.merged().where(F.col("n_docs") >= min_docs), "common-lines")
+    runs.drop()
+    share = max(min_docs, hashes.count() // HOT)
+    hot = common.where(F.col("n_docs") > share).select(F.col("hi").alias("hot_hi"), F.col("lo").alias("hot_lo"), F.col("last_doc").alias("hot_last"))
+    cold = common.where(F.col("n_docs") <= share).select("hi", "lo", "last_doc")
+    #: At most ``HOT`` rows: their documents are more than a HOT-th of all lines each.
+    marked = hashes.select("hi", "lo", "doc_id").join(F.broadcast(hot), (F.col("hi") == F.col("hot_hi")) & (F.col("lo") == F.col("hot_lo")), "left")
+    lost = marked.where("doc_id < hot_last").select("doc_id", "hi", "lo")
+    lost = lost.unionByName(marked.where("hot_last is null").select("hi", "lo", "doc_id").join(cold, ["hi", "lo"]).where("doc_id < last_doc").select("doc_id", "hi", "lo"))
     lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("lost")).withColumnRenamed("doc_id", "lost_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.join(lost, F.coalesce(F.col("doc_id"), F.lit(_LOW)) == F.col("lost_id"), "left").select("doc_id", "text", "lost")

@@ -27,13 +27,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/quillon/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None, **options: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     for k, v in options.items():
         writer = writer.option(k, v)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -62,8 +62,15 @@ def test_levelled_runs(spark):
     for b in range(5):
         runs.add(spark.createDataFrame([(b, 0, b), (100, 0, b)], "hi long, lo long, doc_id long"))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    merged = {r.hi: (r.n_docs, r.last_doc, r.fresh) for r in runs.merged().collect()}
-    assert merged == {100: (5, 4, True)} | {b: (1, b, True) for b in range(5)}
+    merged = {r.hi: (r.n_docs, r.last_doc) for r in runs.merged().collect()}
+    assert merged == {100: (5, 4)} | {b: (1, b) for b in range(5)}
+    #: The anti-join decides: each hash is in one run, and only the common one has additions.
+    own = [r.hi for run in runs.runs() for r in run.collect()]
+    assert sorted(own) == [0, 1, 2, 3, 4, 100] and [(r.hi, r.n_docs, r.last_doc) for r in runs.additions().collect()] == [(100, 4, 4)]
+    plan = runs.runs()[0].join(runs.runs()[1].hint("merge"), ["hi", "lo"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    runs.drop()
+    assert not runs.runs() and runs.merged().count() == 0
 
 
 def test_language_model(docs, none):
