@@ -7,7 +7,9 @@ of the counting exchange (see ``exchange``) builds its own slice, so no gram eve
 ``bits_per_level`` bits an entry whatever the corpus, so the error rate does not grow with it, and they never leave their shard: a chunk sends all
 its words and word pairs, also those of rows not to learn from, and the shard answers with the levels that its slice gives them.
 
-P(w | u) = (c(u w) + mu * P(w)) / (c(u) + mu),  P(w) = (c(w) + 1) / (N + V + 1), with counts c from the filter.
+P(w | u) = (c(u w) + mu * P(w)) / (c(u) + mu),  P(w) = (c(w) + 1) / (N + V + 1), with counts c from the filter; a level stands for the mean of the corpus's
+counts in it.  c(u w) is never taken as more than c(u) or c(w), as only a false hit can say so.  P(w) adds up to 1 over the known words and one unknown.  The
+pair counts of a context add up to its count on average but, being quantised, not in each context, so P(w | u) adds up to 1 only about.
 
 Exact word counts for the add-one baseline come with the same answers.
 
@@ -183,7 +185,9 @@ def _shard(hashes: int, base: float, bits_per_level: float):
         h, c = summed([(unpack_sorted(r[4]), unpack(r[3])) for r in uni])
         keys, n = summed([(unpack_sorted(r[4]), unpack(r[3])) for r in two])
         known, met = c > 0, n > 0
-        out.append((-1, shard, 4, np.array([int(c.sum()), int(known.sum())], np.int64).tobytes(), b""))
+        sums = [np.bincount(LogFrequencyFilter.level(x, base), x, 65) for x in (c[known], n[met])]
+        sizes = [np.bincount(LogFrequencyFilter.level(x, base), minlength=65) for x in (c[known], n[met])]
+        out.append((-1, shard, 4, np.concatenate([[c.sum(), known.sum()], *sums, *sizes]).astype(np.int64).tobytes(), b""))
         part = LogFrequencyFilter.slice_of([(1, h[known] >> _KEY, c[known]), (2, keys[met], n[met])], hashes, base, bits_per_level)
         filt = LogFrequencyFilter(part, [len(part)], hashes, base)
         del n, known, met
@@ -202,6 +206,17 @@ def _shard(hashes: int, base: float, bits_per_level: float):
     return run
 
 
+def _added(batches):
+    """The sum of all heads of a partition."""
+    held = None
+    for batch in batches:
+        for head in batch.column(0):
+            x = np.frombuffer(head.as_py(), np.int64)
+            held = x if held is None else held + x
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["head"])
+
+
 def score_documents(
     docs: DataFrame,
     train,
@@ -216,11 +231,11 @@ def score_documents(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     sent = rows.mapInArrow(_chunks(chunk_bytes, shards), ROW)
     table = written(sent.groupBy("shard").applyInArrow(_shard(hashes, base, bits_per_level), ROW), "lm-counts")
-    total = distinct = 0
-    for r in table.where("kind = 4").select("head").collect():
-        a, b = np.frombuffer(r.head, np.int64)
-        total, distinct = total + int(a), distinct + int(b)
-    value = level_values(base)
+    found = sum((np.frombuffer(r.head, np.int64) for r in table.where("kind = 4").select("head").mapInArrow(_added, "head binary").collect()), np.zeros(2 + 4 * 65, np.int64))
+    total, distinct = int(found[0]), int(found[1])
+    sums, sizes = found[2:132].reshape(2, 65), found[132:].reshape(2, 65)
+    #: A level stands for the mean of the counts that it holds, so what the filter answers adds up to the training tokens.
+    value, pair_value = (np.where(n > 0, s / np.maximum(n, 1), level_values(base)) for s, n in zip(sums, sizes, strict=True))
 
     def score(part: pa.Table) -> pa.Table:
         rows = list(zip(*(part.column(c).to_pylist() for c in ("shard", "kind", "head", "body")), strict=True))
@@ -236,7 +251,7 @@ def score_documents(
         cut = [int.from_bytes(r[3][:4], "little") + 4 for r in answers]
         counts = np.concatenate([unpack(r[3][4:k]) for r, k in zip(answers, cut, strict=True)])
         single = value[np.concatenate([unpack(r[3][k:]) for r, k in zip(answers, cut, strict=True)])]
-        both = value[np.concatenate([unpack(r[3]) for r in levels])]
+        both = pair_value[np.concatenate([unpack(r[3]) for r in levels])]
         del answers, levels
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
         #: Everything that depends on a word alone is worked out once a word of the chunk.
@@ -252,7 +267,7 @@ def score_documents(
         own = single[flat]
         context = np.concatenate([[0.0], own[:-1]])
         context[starts] = end_count  # as many texts begin as end
-        logs = np.log10((np.minimum(both, np.maximum(context, own)) + mu * (own + 1) / (total + distinct + 1.0)) / (np.maximum(context, both) + mu))
+        logs = np.log10((np.minimum(both, np.minimum(context, own)) + mu * (own + 1) / (total + distinct + 1.0)) / (context + mu))
         logs = np.add.reduceat(logs, starts)
         del both, own, context, counts, hashes_of, single, flat
         release()

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_language_model_gathers_nothing_that_grows(spark, monkeypatch):
     """No filter reaches the driver or a broadcast, and levels are those of the exact counts but for rare false hits."""
-    from quillon.llm.langmodel import LogFrequencyFilter, level_values
+    from quillon.llm.langmodel import LogFrequencyFilter
 
     sent, real = [], type(spark.sparkContext).broadcast
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(len(pickle.dumps(value))), real(self, value))[1])
@@ -26,17 +26,25 @@ def test_language_model_gathers_nothing_that_grows(spark, monkeypatch):
         if zlib.crc32(str(i).encode()) % 7 != 2:
             one.update(t)
             two.update(zip(["", *t], t))
-    n, v, value = sum(one.values()), len(one), level_values(1.5)
+    n, v = sum(one.values()), len(one)
 
-    def quantised(c):
-        return value[LogFrequencyFilter.level(np.array([c]), 1.5)[0]] if c else 0.0
+    def means(counts):
+        """What each level stands for: the mean of the counts in it."""
+        c = np.array(list(counts.values()))
+        level = LogFrequencyFilter.level(c, 1.5)
+        return np.bincount(level, c, 65) / np.maximum(1, np.bincount(level, minlength=65))
+
+    values = means(one), means(two)
+
+    def quantised(c, order=0):
+        return values[order][LogFrequencyFilter.level(np.array([c]), 1.5)[0]] if c else 0.0
 
     gaps = []
     for i, t in texts.items():
         want = 0.0
         for u, w in zip([None, *t], t):
-            both, own, context = quantised(two["" if u is None else u, w]), quantised(one[w]), quantised(one[u])
-            want += np.log10((min(both, max(context, own)) + 16 * (own + 1) / (n + v + 1)) / (max(context, both) + 16))
+            both, own, context = quantised(two["" if u is None else u, w], 1), quantised(one[w]), quantised(one[u])
+            want += np.log10((min(both, context, own) + 16 * (own + 1) / (n + v + 1)) / (context + 16))
         gaps.append(abs(got[i].score - want) / abs(want))
     assert np.mean(gaps) < 0.03
 
