@@ -3,8 +3,8 @@
 Test items are short and documents long, so their Jaccard similarity is tiny and signatures of both sides rarely agree.
 The search is therefore one-sided: an item is represented by the ``k`` shingles with the smallest hashes (its bottom-k
 MinHash sketch), and each of them is looked up among *all* shingles of a document; the share found is an unbiased estimate of
-the item's containment.  Items are partitioned by size; each size class has its own sketch length and the least number
-of hits that a document must have, chosen so that an item of containment ``threshold`` is missed with a probability under
+the item's containment.  Items are partitioned by size; each size class has its own sketch length, its own index and, for each
+size, the least number of hits that a document must have, chosen so that an item of containment ``threshold`` is missed with a probability under
 ``miss``.  Items with no more shingles than their class's sketch are represented whole, and lose nothing.  Every candidate
 (document, item) is verified by exact containment over whole texts.
 
@@ -55,68 +55,80 @@ def least_hits(size: int, sketch: int, threshold: float, miss: float) -> int:
     return max(1, sketch)
 
 
+def _table(hashes: list, owners: list) -> tuple[np.ndarray, np.ndarray]:
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h, o = np.concatenate(hashes), np.concatenate(owners)
+    order = np.argsort(h, kind="stable")
+    return h[order], o[order]
+
+
+def _hits(table: np.ndarray, owner: np.ndarray, seen: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``seen`` (distinct) each owner holds."""
+    a, b = np.searchsorted(table, seen, "left"), np.searchsorted(table, seen, "right")
+    lens = b - a
+    at = np.repeat(a - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum()) if len(lens) else a
+    return np.bincount(owner[at], minlength=n)
+
+
+class SizePartition:
+    """The items of 2^c to 2^(c+1)-1 shingles: their MinHash sketches, all of one length, the hits that each item needs, and the whole sets."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], sketch: int, threshold: float, miss: float) -> None:
+        self.ids = [i for i, _ in items]
+        self.sizes = np.array([len(s) for _, s in items], np.int64)
+        #: Longer items have longer sketches, so that one more hit is asked for and fewer documents are candidates.
+        self.length = sketch + 4 * max(0, int(self.sizes[0]).bit_length() - 6)
+        lengths = np.minimum(self.sizes, self.length)
+        self.need = np.array([least_hits(int(m), int(k), threshold, miss) for m, k in zip(self.sizes, lengths, strict=True)], np.int64)
+        self.enough = np.array([needed(int(m), threshold) for m in self.sizes], np.int64)
+        numbers = np.arange(len(items))
+        self.sketch, self.sketch_owner = _table([s[:k] for (_, s), k in zip(items, lengths, strict=True)], [np.full(k, i) for i, k in zip(numbers, lengths, strict=True)])
+        self.whole, self.whole_owner = _table([s for _, s in items], [np.full(len(s), i) for i, (_, s) in zip(numbers, items, strict=True)])
+
+    def candidates(self, near: np.ndarray) -> np.ndarray:
+        """Items of which a document's shingles hold enough of the sketch."""
+        return np.flatnonzero(_hits(self.sketch, self.sketch_owner, near, len(self.ids)) >= self.need)
+
+    def verified(self, found: np.ndarray, whole: np.ndarray) -> list[tuple[int, int, int]]:
+        shared = _hits(self.whole, self.whole_owner, whole[np.isin(whole, self.whole)], len(self.ids))
+        return [(self.ids[c], int(shared[c]), int(self.sizes[c])) for c in found if shared[c] >= self.enough[c]]
+
+
 class ItemIndex:
-    """Sketches of a block of items, by shingle hash, and the whole shingle sets for verification."""
+    """A block of items: one partition a size class, and exact tables for items without shingles."""
 
     def __init__(self, items: list[tuple[int, bytes]], n: int, threshold: float, sketch: int, miss: float) -> None:
-        self.n, self.threshold, self.ids = n, threshold, []
-        coder, owners, hashes = WordCoder(), [], []
-        every_owner, every_hash, need, sizes = [], [], [], []
+        self.n = n
+        coder = WordCoder()
+        classes: dict[int, list[tuple[int, np.ndarray]]] = {}
         shorter: dict[int, dict[int, list[int]]] = {}
         for item_id, text in items:
             w = plain_words(text)
-            if len(w) < n:
-                if w:
-                    shorter.setdefault(len(w), {}).setdefault(int(shingles(coder.hashed(w), len(w))[0]), []).append(item_id)
-                continue
-            s = np.unique(shingles(coder.hashed(w), n))
-            at = len(self.ids)
-            self.ids.append(item_id)
-            sizes.append(len(s))
-            #: Size class c holds 2^c to 2^(c+1)-1 shingles; its sketch grows with c so that pruning does.
-            k = min(len(s), sketch + 4 * max(0, len(s).bit_length() - 6))
-            need.append(least_hits(len(s), k, threshold, miss))
-            hashes.append(s[:k])
-            owners.append(np.full(k, at))
-            every_hash.append(s)
-            every_owner.append(np.full(len(s), at))
+            if len(w) >= n:
+                s = np.unique(shingles(coder.hashed(w), n))
+                classes.setdefault(len(s).bit_length(), []).append((item_id, s))
+            elif w:
+                shorter.setdefault(len(w), {}).setdefault(int(shingles(coder.hashed(w), len(w))[0]), []).append(item_id)
         self.short = [(length, np.array(sorted(ids), np.uint64), ids) for length, ids in sorted(shorter.items())]
-        self.need, self.sizes = np.array(need, np.int64), np.array(sizes, np.int64)
-        self.enough = [needed(m, threshold) for m in sizes]
-        self.sketch, self.sketch_owner = self._table(hashes, owners)
-        self.whole, self.whole_owner = self._table(every_hash, every_owner)
+        self.partitions = [SizePartition(of, sketch, threshold, miss) for _, of in sorted(classes.items())]
+        #: What no partition's sketches can hold is left out by one look.
         self.bloom = np.zeros(1 << 21, bool)
-        self.bloom[self.sketch >> np.uint64(43)] = True
-
-    @staticmethod
-    def _table(hashes: list, owners: list) -> tuple[np.ndarray, np.ndarray]:
-        if not hashes:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        h, o = np.concatenate(hashes), np.concatenate(owners)
-        order = np.argsort(h, kind="stable")
-        return h[order], o[order]
-
-    @staticmethod
-    def _hits(table: np.ndarray, owner: np.ndarray, seen: np.ndarray, n: int) -> np.ndarray:
-        a, b = np.searchsorted(table, seen, "left"), np.searchsorted(table, seen, "right")
-        lens = b - a
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum()) if len(lens) else a
-        return np.bincount(owner[at], minlength=n)
+        for p in self.partitions:
+            self.bloom[p.sketch >> np.uint64(43)] = True
 
     def matches(self, doc_shingles: np.ndarray) -> list[tuple[int, int, int]]:
         """(item_id, shared, size) of the items that a document holds."""
         near = doc_shingles[self.bloom[doc_shingles >> np.uint64(43)]]
         if not len(near):
             return []
-        n = len(self.ids)
-        hits = self._hits(self.sketch, self.sketch_owner, np.unique(near), n)
-        candidates = np.flatnonzero(hits >= self.need)
-        if not len(candidates):
-            return []
-        whole = np.unique(doc_shingles)
-        shared = self._hits(self.whole, self.whole_owner, whole[np.isin(whole, self.whole)], n)
-        return [(self.ids[c], int(shared[c]), int(self.sizes[c])) for c in candidates if shared[c] >= self.enough[c]]
-
+        near, whole, out = np.unique(near), None, []
+        for p in self.partitions:
+            found = p.candidates(near)
+            if len(found):
+                whole = np.unique(doc_shingles) if whole is None else whole
+                out += p.verified(found, whole)
+        return out
 
     def found(self, hashed: np.ndarray) -> list[tuple[int, int, int]]:
         """``matches`` of a document's word hashes, and the items of fewer than ``n`` words that it holds."""
