@@ -7,7 +7,7 @@ Native: DataFrame functions only.
   of one weight a domain, a proven size, and is broadcast.  Bucket rates are smoothed towards the rates of all domains, so rare words say little.
 * Every document gets domain posteriors from its whole text.
 * Rates x minimise sum over domains d of w_d (sum_i t_i p_id x_i - target_d)^2 with x_i between ``least`` and ``most``, t tokens, p posteriors, by projected
-  gradient steps.  With w_d = 1 / mass_d and steps scaled by 1 / t_i the problem is well conditioned. A step needs one number a domain
+  gradient steps with momentum.  With w_d = 1 / mass_d and steps scaled by 1 / t_i the problem is well conditioned. A step needs one number a domain
   from all documents (one aggregate, no shuffle of documents); a document's rate follows from the steps so far.
 
 Expected token totals by domain are what the fit matches; a target beyond reach (``least`` or ``most`` bind, or no document of a domain) is met as far as it goes.
@@ -69,30 +69,43 @@ def posteriors(rows: DataFrame, table: DataFrame, priors: list[float], buckets:
     return sums.select(*keep, "n_tokens", *[(r / sum(raised[1:], raised[0])).alias(f"p{i}") for i, r in enumerate(raised)])
 
 
-def rate_of(steps: list[list[float]], n: int, least: float, most: float) -> Column:
-    """A document's rate after projected steps, from its posteriors."""
+def rate_of(steps: list[list[float]], n: int, least: float, most: float, ahead: bool = False) -> Column:
+    """A document's rate after projected steps, from its posteriors; with ``ahead`` the point at which the next gradient is taken.
+
+    A step holds its gradient by domain and the momentum: the next point lies that much further along the rate's last change.
+    """
     start = F.lit(float(min(max(1.0, least), most)))
     if not steps:
         return start
     path = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
-    return F.aggregate(path, start, lambda x, s: F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), x - sum(s[i] * F.col(f"p{i}") for i in range(n)))))
 
+    def after(state: Column, s: Column) -> Column:
+        x = F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), state["ahead"] - sum(s[i] * F.col(f"p{i}") for i in range(n))))
+        return F.struct(x.alias("x"), (x + s[n] * (x - state["x"])).alias("ahead"))
+
+    return F.aggregate(path, F.struct(start.alias("x"), start.alias("ahead")), after, lambda state: state["ahead" if ahead else "x"])
 
-def fit_rates(table: DataFrame, n: int, targets: list[float], least: float = 0.0, most: float = 8.0, rounds: int = 100, close: float = 1e-7) -> list[list[float]]:
-    """Gradient steps for ``rate_of``. table: n_tokens, p0.. ; targets: token totals. A fit that ``rounds`` steps do not settle is warned of."""
+
+def fit_rates(table: DataFrame, n: int, targets: list[float], least: float = 0.0, most: float = 8.0, rounds: int = 60, close: float = 1e-4) -> list[list[float]]:
+    """Gradient steps for ``rate_of``. table: n_tokens, p0.. ; targets: token totals.
+
+    Steps gain momentum and lose it when the loss rises.  They end when a step changes no domain's total by more than ``close`` of the sum of targets; a fit
+    that ``rounds`` steps do not settle is warned of.
+    """
     mass = table.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)) for i in range(n)]).first()
     w = [1 / m if m > 0 else 0.0 for m in mass]
     steps: list[list[float]] = []
-    before = None
+    before, last, run = None, None, 0
     for _ in range(rounds):
-        rated = table.withColumn("x", rate_of(steps, n, least, most))
+        rated = table.withColumn("x", rate_of(steps, n, least, most, ahead=True))
         got = rated.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col("x")), F.lit(0.0)) for i in range(n)]).first()
         loss = sum(w[i] * (got[i] - targets[i]) ** 2 for i in range(n))
-        if before is not None and before - loss <= close * max(before, 1e-12):
+        if last is not None and max(abs(a - b) for a, b in zip(got, last, strict=True)) <= close * max(sum(targets), 1.0):
             break
-        before = loss
+        run = 0 if before is not None and loss > before else run + 1
+        before, last = loss, got
         #: The largest eigenvalue of the scaled problem is 1 (rows of posteriors add up to 1), so the step is 1.
-        steps.append([w[i] * (got[i] - targets[i]) for i in range(n)])
+        steps.append([*(w[i] * (got[i] - targets[i]) for i in range(n)), run / (run + 3)])
     else:
         warnings.warn(f"rates did not settle in {rounds} steps", stacklevel=2)
     return steps
