@@ -81,7 +81,7 @@ def generalised(shapes: DataFrame, levels: int, many: int, thin: float) -> DataF
     """
     rows = shapes.withColumn("template", F.array().cast("array<string>"))
     for level in range(levels):
-        child = F.col("shape")[level]
+        child = F.get("shape", F.lit(level))
         nodes = (
             rows.where(F.size("shape") > level)
             .groupBy("host", F.concat_ws("/", "template").alias("node"), child.alias("child"))
@@ -99,7 +99,7 @@ def generalised(shapes: DataFrame, levels: int, many: int, thin: float) -> DataF
 
 def merged(rows: DataFrame, level: int, alike: float, z: float) -> DataFrame:
     """``rows`` (host, template, n, bad, labelled) with segment ``level`` a wildcard where that branch is like its labelled siblings."""
-    branch, below = F.col("template")[level], F.concat_ws("/", F.slice("template", level + 2, 1_000_000))
+    branch, below = F.get("template", F.lit(level)), F.concat_ws("/", F.slice("template", level + 2, 1_000_000))
     parent = F.concat_ws("/", F.slice("template", 1, level))
     sums = [F.sum(c).alias(c) for c in ("n", "bad", "labelled")]
     deep = rows.where(F.size("template") > level)
