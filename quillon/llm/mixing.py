@@ -89,8 +89,8 @@ def rate_of(steps: list[list[float]], n: int, least: float, most: float, ahead:
 def fit_rates(table: DataFrame, n: int, targets: list[float], least: float = 0.0, most: float = 8.0, rounds: int = 60, close: float = 1e-4) -> list[list[float]]:
     """Gradient steps for ``rate_of``. table: n_tokens, p0.. ; targets: token totals.
 
-    Steps gain momentum and lose it when the loss rises.  They end when a step changes no domain's total by more than ``close`` of the sum of targets; a fit
-    that ``rounds`` steps do not settle is warned of.
+    Steps gain momentum and lose it when the loss rises.  They end when a step changes no domain's total by more than ``close`` of its tokens; a fit that
+    ``rounds`` steps do not settle is warned of.
     """
     mass = table.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)) for i in range(n)]).first()
     w = [1 / m if m > 0 else 0.0 for m in mass]
@@ -100,7 +100,7 @@ def fit_rates(table: DataFrame, n: int, targets: list[float], least: float = 0.0
         rated = table.withColumn("x", rate_of(steps, n, least, most, ahead=True))
         got = rated.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col("x")), F.lit(0.0)) for i in range(n)]).first()
         loss = sum(w[i] * (got[i] - targets[i]) ** 2 for i in range(n))
-        if last is not None and max(abs(a - b) for a, b in zip(got, last, strict=True)) <= close * max(sum(targets), 1.0):
+        if last is not None and all(abs(a - b) <= close * m for a, b, m in zip(got, last, mass, strict=True)):
             break
         run = 0 if before is not None and loss > before else run + 1
         before, last = loss, got
