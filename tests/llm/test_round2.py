@@ -26,3 +26,20 @@ def test_tokenizer_takes_the_piece_path(tmp_path):
     encoder = tokens.PieceEncoder(library, keep=300)
     got = [ids.tolist() for at in range(0, len(texts), 100) for ids in encoder.encode(texts[at : at + 100])]
     assert got == want and encoder.short.n < 2_000
+
+
+def test_operators_equal_their_sql(spark):
+    """What the driver compares, on the table of a thousand documents."""
+    import duckdb
+
+    from quillon.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        columns = sorted(df.columns)
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+        assert sorted(map(tuple, df.select(*columns).collect())) == sorted(want), name
