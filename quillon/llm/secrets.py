@@ -5,12 +5,14 @@ SHA-256.  ``scan`` drops the (blob, rule version) pairs that the ledger already
 it lacks, and appends spans to the ledger; ``report`` joins the spans back to every path and version.  Offsets are code points, end
 exclusive: the pieces between matches (``split``) and the matches alternate, so their lengths add up to positions.
 
-Nulls: a null text is the empty blob; null paths and versions are values like any other.  Repeated rows are reported each.  The empty table gives
-an empty report.
+Nulls and ties: a null text is the empty blob; null paths and versions are values like any other.  Repeated rows are reported each; of the rows that
+hold a blob the one with the least path and version is scanned.  Very long texts are scanned whole.  Spans that begin together are ordered by rule.  The
+empty table gives an empty report; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,11 +77,21 @@ def history_of(documents: DataFrame, path: str = "doc_id", text: str = "text", v
 
 
 class SecretLedger:
-    """Blobs scanned so far, by rule version, under ``root``."""
+    """Blobs scanned so far, by rule version, under ``root``. A ledger on a root that holds finished scans goes on from them; a scan that broke off counts as none."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, rules: tuple[SecretRule, ...] = BASE + MORE) -> None:
         self.spark, self.root, self.rules = spark, root or new_path(spark, "secret-ledger"), rules
-        self._parts: list[str] = []
+        self._parts = self._finished()
+
+    def _finished(self) -> list[str]:
+        """Folders of scans that Spark has marked as complete."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        root = hadoop(self.root)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        paths = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("scan-")]
+        return sorted(p.toString() for p in paths if fs.exists(hadoop(p, "_SUCCESS")))
 
     def _scans(self) -> DataFrame:
         if not self._parts:
@@ -111,7 +123,7 @@ class SecretLedger:
         same = F.col("path").eqNullSafe(F.col("todo_path")) & F.col("version").eqNullSafe(F.col("todo_version")) & (F.col("blob") == F.col("todo_blob"))
         texts = history.join(todo, same).select("blob", "text", "todo")
         spans = F.array_sort(F.concat(*[F.when(F.array_contains("todo", r.id), spans_of(F.col("text"), r, k)).otherwise(F.array().cast("array<struct<start: int, rank: int, kind: string, stop: int>>")) for k, r in enumerate(self.rules)]))
-        part = f"{self.root}/scan-{len(self._parts)}"
+        part = f"{self.root}/scan-{len(self._parts):06d}-{uuid.uuid4().hex}"
         texts.select("blob", F.col("todo").alias("rules"), spans.alias("spans")).write.parquet(part)
         self._parts.append(part)
 
