@@ -13,7 +13,7 @@ Native: DataFrame functions only.
 Expected token totals by domain are what the fit matches; a target beyond reach (``least`` or ``most`` bind, or no document of a domain) is met as far as it goes.
 
 Nulls and ties: a null or empty text has no tokens, prior posteriors and the rate that its posteriors give; every row counts by itself, repeated
-``doc_id`` or not; other columns pass through.  Without labelled rows all domains share equally.  An empty table gives no rows.
+``doc_id`` or not; other columns pass through, whatever their names, but mix_tokens, mix_posteriors and mix_rate are replaced.  Without labelled rows all domains share equally.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -131,15 +131,17 @@ def mix(
     ``learn`` (doc_id, text), ``docs`` if None: where labelled rows were dropped from ``docs``, ``learn`` is the table that still holds them.
     """
     domains = list(targets)
+    docs = docs.drop("mix_tokens", "mix_posteriors", "mix_rate")
+    key = _unused("mix_row", docs.columns)
     kept = [c for c in docs.columns if keep is None or c in keep]
     table, priors = fit_classifier(docs if learn is None else learn, labelled, domains, buckets, max_labelled, strength)
     #: Row keys are written down with the rows: a task that runs again would number them anew otherwise.
-    rows = docs.withColumn("mix_row", F.monotonically_increasing_id())
+    rows = docs.withColumn(key, F.monotonically_increasing_id())
     if keep is None:
         rows = written(rows, "mix-rows")
-        features = written(posteriors(rows.select("mix_row", "text"), table, priors, buckets, temper, ["mix_row"]), "mix-features")
+        features = written(posteriors(rows.select(key, "text"), table, priors, buckets, temper, [key]), "mix-features")
     else:
-        features = written(posteriors(rows.select("mix_row", *kept, "text"), table, priors, buckets, temper, ["mix_row", *kept]), "mix-features")
+        features = written(posteriors(rows.select(key, *kept, "text"), table, priors, buckets, temper, [key, *kept]), "mix-features")
     n = len(domains)
     tokens = features.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     weight = sum(targets.values())
@@ -148,12 +150,21 @@ def mix(
     out = out.withColumnRenamed("n_tokens", "mix_tokens")
     if keep is not None:
         return out.select(*kept, "mix_tokens", "mix_posteriors", "mix_rate")
-    out = out.select(F.col("mix_row").alias("mix_of"), "mix_tokens", "mix_posteriors", "mix_rate")
-    return rows.join(out, F.col("mix_row") == F.col("mix_of")).drop("mix_of", "mix_row")
+    out = out.select(F.col(key).alias(f"{key}_of"), "mix_tokens", "mix_posteriors", "mix_rate")
+    return rows.join(out, F.col(key) == F.col(f"{key}_of")).drop(f"{key}_of", key)
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    """``name``, longer where a column has it."""
+    while any(c.lower().startswith(name) for c in columns):
+        name += "_"
+    return name
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Rows as often as their rate says: its whole part, and once more for the share of ids that its fraction is."""
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     times = (F.floor("mix_rate") + (part < F.col("mix_rate") - F.floor("mix_rate")).cast("int")).cast("int")
-    return mixed.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_time", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*columns)
+    name = _unused("mix_times", mixed.columns)
+    mixed = mixed.withColumn(name, times).where(F.col(name) > 0)
+    return mixed.withColumn(f"{name}_one", F.explode(F.sequence(F.lit(1), F.col(name)))).select(*columns)

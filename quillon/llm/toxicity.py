@@ -14,7 +14,7 @@ broadcast (the words of ``max_examples`` * 2 rows).  Everything else covers whol
 
 A text without known terms, also null and empty ones, gets the fitted probability of a vote of zero.  Repeated rows are
 scored alike; ties between neighbours are broken by the example's position.  Without labelled rows of both classes the score is the share of
-the one that exists (0 without any).  Other columns of ``docs`` pass through.
+the one that exists (0 without any).  Other columns of ``docs`` pass through; tox_score and tox_evidence are replaced.
 """
 
 from __future__ import annotations
@@ -253,6 +253,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def score(docs: DataFrame, model: ToxicityModel, evidence: int = 3, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``tox_score`` and ``tox_evidence`` (the nearest examples: doc_id, cosine, label). No shuffle."""
+    docs = docs.drop("tox_score", "tox_evidence")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
