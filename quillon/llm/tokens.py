@@ -150,7 +150,7 @@ class PieceEncoder:
     learned anew, which bounds the memory of a worker.
     """
 
-    def __init__(self, tokenizer, keep: int = 1_000_000) -> None:
+    def __init__(self, tokenizer, keep: int = 500_000) -> None:
         self.tokenizer, self.keep = tokenizer, keep
         sep = tokenizer.encode("\x01", add_special_tokens=False).ids
         #: Parts are encoded many at once, divided by a control character, where that is one id.
