@@ -174,8 +174,11 @@ class PieceEncoder:
             core, tail = piece, b""
         return (core.lower() if core.isascii() else core), tail
 
-    def _ids(self, parts: list[bytes], group: int = 200) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all parts one after the other, and the number of each part's."""
+    def _ids(self, parts: list[bytes], group: int = 200, at_once: int = 8000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts one after the other, and the number of each part's. The library's results, some hundred bytes an id, are held for ``at_once`` parts."""
+        if len(parts) > at_once:
+            some = [self._ids(parts[i : i + at_once], group, at_once) for i in range(0, len(parts), at_once)]
+            return np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
         alone = [self.divider is None or b"\x01" in p or b"<|" in p for p in parts]
         texts = [p.decode("utf-8", "replace") for p in parts]
         plain = [t for t, a in zip(texts, alone, strict=True) if not a]
@@ -324,7 +327,7 @@ def write_tokens(
     chunk_ids: int = 1 << 18,
     block: int = 1 << 16,
     bits: bool = False,
-    batch_bytes: int = 4 << 20,
+    batch_bytes: int = 1 << 20,
 ) -> str:
     """Encodes ``docs`` (doc_id, text) to ``path`` (``chunks/`` and ``index/``) and returns it.
 
