@@ -24,7 +24,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import written
+from quillon.llm.shared import SMALL_GROUPS, written
 
 WORD = r"[\x20\x09-\x0D]+"
 
@@ -138,7 +138,7 @@ def mix(
     #: Row keys are written down with the rows: a task that runs again would number them anew otherwise.
     rows = docs.withColumn(key, F.monotonically_increasing_id())
     if keep is None:
-        rows = written(rows, "mix-rows")
+        rows = written(rows, "mix-rows", **SMALL_GROUPS)
         features = written(posteriors(rows.select(key, "text"), table, priors, buckets, temper, [key]), "mix-features")
     else:
         features = written(posteriors(rows.select(key, *kept, "text"), table, priors, buckets, temper, [key, *kept]), "mix-features")

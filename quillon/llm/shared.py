@@ -27,6 +27,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/quillon/{name}-{uuid.uuid4().hex}"
 
 
+#: For tables of whole texts: a writer holds a row group, and a reader a column of one, so every task of an executor has one or two on the heap.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20)}
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None, **options: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
