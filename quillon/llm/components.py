@@ -29,10 +29,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (u, v longs) that has a link."""
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", sweep=True)
     before = None
     for _ in range(most_rounds):
-        edges = written(_star(_star(edges, True), False), "stars")
+        edges = written(_star(_star(edges, True), False), "stars", sweep=True)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -300,13 +300,13 @@ def _classes(docs: DataFrame, n: int, t: Fraction, orders: int, chunk_bytes: int
     """Sets of all rows, classes (hi, lo, rep) and the candidates among the classes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     counted = rows.mapInArrow(_chunks(n, chunk_bytes, shards_for(docs)), ROW).groupBy("shard").applyInArrow(_count, ROW)
-    sets = written(counted.groupBy("chunk").applyInArrow(_assemble, SETS), "shingle-sets")
+    sets = written(counted.groupBy("chunk").applyInArrow(_assemble, SETS), "shingle-sets", sweep=True)
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes, "set-classes")
+    classes = written(classes, "set-classes", sweep=True)
     keys = classes.select(F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), "rep")
     same = (F.col("hi") == F.col("c_hi")) & (F.col("lo") == F.col("c_lo")) & (F.col("doc_id") == F.col("rep"))
     one = sets.where("n_shingles > 0").join(keys, same).dropDuplicates(["rep", "hi", "lo"]).select("rep", "n_shingles", "tokens", "freq")
-    return sets, classes, written(one.mapInArrow(_prefixes(t, orders), CANDIDATES), "candidates")
+    return sets, classes, written(one.mapInArrow(_prefixes(t, orders), CANDIDATES), "candidates", sweep=True)
 
 
 def _dealt(found: DataFrame, block: int, block_bytes: int) -> DataFrame:
@@ -320,7 +320,7 @@ def _dealt(found: DataFrame, block: int, block_bytes: int) -> DataFrame:
     bucket = grams.groupBy("token").agg(F.min(F.struct("alone", "rep")).alias("lead"), F.min("rep").alias("least"), F.max("rep").alias("last")).where("least < last")
     bucket = bucket.select(F.col("token").alias("b_token"), F.col("lead.rep").alias("leader"))
     members = grams.join(bucket, F.col("token") == F.col("b_token")).groupBy("leader", "rep").agg(F.max("weight").alias("weight"))
-    members = written(members, "groups")
+    members = written(members, "groups", sweep=True)
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("weight") / block_bytes)).cast("int")
     cuts = members.groupBy("leader").agg(blocks.alias("blocks")).withColumnRenamed("leader", "of")
     rows = members.join(cuts, F.col("leader") == F.col("of")).select("leader", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
@@ -346,7 +346,7 @@ def similarity_components(
     """
     t = Fraction(threshold)
     sets, classes, found = _classes(docs, n, t, orders, chunk_bytes)
-    links = written(_compared(found, t, orders, block, block_bytes, False), "set-links")
+    links = written(_compared(found, t, orders, block, block_bytes, False), "set-links", sweep=True)
     component = connected_components(links.where("kind = 0").select("u", "v")).select("node", "component")
     degree = links.where("kind = 1").groupBy("u").agg(F.sum("v").alias("n_links"))
     final = component.join(degree, F.col("node") == F.col("u")).select("node", "component", "n_links")

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +33,26 @@ def new_path(spark: SparkSession, name: str) -> str:
 SMALL_GROUPS = {"parquet.block.size": str(8 << 20)}
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None, **options: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
+#: Spark removes the files of a query's shuffles at its end; else they stay until the driver's heap happens to be collected.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside leave no shuffle files; the session's own setting holds again afterwards."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SWEEP)
+        else:
+            spark.conf.set(SWEEP, before)
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None, sweep: bool = False, **options: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: its lineage ends there, and with ``sweep`` its shuffle files go."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
@@ -40,7 +60,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None, **options
         writer = writer.option(k, v)
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with swept(spark) if sweep else nullcontext():
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
