@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import contamination, jaccard, mixing, queries, tokens, toxicity
-from quillon.llm.shared import SMALL_GROUPS, table, written
+from quillon.llm.shared import SMALL_GROUPS, small_batches, table, written
 
 
 #: Tokens of the mixture as a multiple of what the stages before keep.
@@ -66,6 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name, **SMALL_GROUPS)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with small_batches(spark):
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name, **SMALL_GROUPS)
+        return STAGES[-1][1](spark, docs, sf_dir)

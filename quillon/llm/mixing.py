@@ -21,13 +21,16 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import SMALL_GROUPS, written
+from quillon.llm.shared import SMALL_GROUPS, small_batches, written
 
 WORD = r"[\x20\x09-\x0D]+"
 
+#: Bytes of text that a task of the last join sorts and hands on: whoever writes the result holds no more of it, whatever the row groups.
+PIECE_BYTES = 16 << 20
+
 
 def quality_domains() -> Column:
     """Domains of the labels table: toxic, else low, else clean."""
@@ -130,15 +133,21 @@ def mix(
     ``targets`` are weights of the domains; they are met over ``budget`` times the documents' tokens.  The classifier learns from the labelled rows of
     ``learn`` (doc_id, text), ``docs`` if None: where labelled rows were dropped from ``docs``, ``learn`` is the table that still holds them.
     """
+    with small_batches(docs.sparkSession):
+        return _mixed(docs.drop("mix_tokens", "mix_posteriors", "mix_rate"), labelled, targets, budget, least, most, buckets, max_labelled, strength, temper, keep, learn)
+
+
+def _mixed(docs, labelled, targets, budget, least, most, buckets, max_labelled, strength, temper, keep, learn) -> DataFrame:
     domains = list(targets)
-    docs = docs.drop("mix_tokens", "mix_posteriors", "mix_rate")
     key = _unused("mix_row", docs.columns)
     kept = [c for c in docs.columns if keep is None or c in keep]
     table, priors = fit_classifier(docs if learn is None else learn, labelled, domains, buckets, max_labelled, strength)
     #: Row keys are written down with the rows: a task that runs again would number them anew otherwise.
     rows = docs.withColumn(key, F.monotonically_increasing_id())
     if keep is None:
-        rows = written(rows, "mix-rows", **SMALL_GROUPS)
+        seen = Observation()
+        rows = written(rows.observe(seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")), "mix-rows", **SMALL_GROUPS)
+        pieces = math.ceil(seen.get["bytes"] / PIECE_BYTES)
         features = written(posteriors(rows.select(key, "text"), table, priors, buckets, temper, [key]), "mix-features")
     else:
         features = written(posteriors(rows.select(key, *kept, "text"), table, priors, buckets, temper, [key, *kept]), "mix-features")
@@ -151,6 +160,9 @@ def mix(
     if keep is not None:
         return out.select(*kept, "mix_tokens", "mix_posteriors", "mix_rate")
     out = out.select(F.col(key).alias(f"{key}_of"), "mix_tokens", "mix_posteriors", "mix_rate")
+    #: Fewer pieces than cores are left to adaptive execution, which fills the cores first and only then makes larger ones.
+    if pieces > docs.sparkSession.sparkContext.defaultParallelism:
+        rows, out = rows.repartition(pieces, key), out.repartition(pieces, f"{key}_of")
     return rows.join(out, F.col(key) == F.col(f"{key}_of")).drop(f"{key}_of", key)
 
 

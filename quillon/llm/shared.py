@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,18 +37,32 @@ SMALL_GROUPS = {"parquet.block.size": str(8 << 20)}
 SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: A reader's batch holds the texts of so many rows, and twice that while it grows; Spark's 4,096 rows of 2 KB are 20 MB a task.
+READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+
+
 @contextmanager
-def swept(spark: SparkSession) -> Iterator[None]:
-    """Queries begun inside leave no shuffle files; the session's own setting holds again afterwards."""
-    before = spark.conf.get(SWEEP, None)
-    spark.conf.set(SWEEP, "true")
+def holding(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Queries begun inside run with this setting; the session's own one holds again afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(SWEEP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(SWEEP, before)
+            spark.conf.set(key, before)
+
+
+def swept(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries begun inside leave no shuffle files."""
+    return holding(spark, SWEEP, "true")
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries begun inside read whole texts a few at a time."""
+    return holding(spark, READ_ROWS, "256")
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None, sweep: bool = False, **options: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import new_path, width
+from quillon.llm.shared import new_path, small_batches, width
 from quillon.llm.text import pack, release, unpack
 
 _HEAD = struct.Struct("<4sBBHIQ")
@@ -386,7 +386,8 @@ def write_tokens(
         .repartitionByRange(width(spark), F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
-    ordered.mapInArrow(chunks, CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+    with small_batches(spark):
+        ordered.mapInArrow(chunks, CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
     index = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").drop("payload", "docs")
     #: One row a shard, however large the input: the window holds no more rows than there were partitions.
     shards = index.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
