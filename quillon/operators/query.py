@@ -1,6 +1,7 @@
 """A fluent query over a DataFrame.
 
-Each step adds to the logical plan; nothing runs before ``collect``/``count``-like calls on ``df``.  Orderings are remembered, so ``last`` can turn
+Each step adds to the logical plan; nothing runs before ``collect``/``count``-like calls on ``df``, but for a skip without a take, whose rows are sorted and
+put down when ``df`` or a next step asks for them.  Orderings are remembered, so ``last`` can turn
 them round, and are applied when a limit, an offset or the end needs them.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import stats
+from quillon.operators.paging import rows_after
 from quillon.options import current
 
 
@@ -24,7 +26,11 @@ class QueryError(ValueError):
 
 class Query:
     def __init__(self, df: DataFrame, order: list[tuple[Column, bool]] | None = None) -> None:
-        self._df, self._order, self._skipped = df, order or [], False
+        self._rows, self._order, self._skipped, self._offset = df, order or [], False, 0
+
+    @property
+    def _df(self) -> DataFrame:
+        return rows_after(self._rows, self._offset)
 
     # sources
 
@@ -140,13 +146,15 @@ class Query:
 
     def take(self, n: int) -> Query:
         _whole(n)
+        if self._offset:
+            return Query(self._rows.offset(self._offset).limit(n))
         return Query(self._page().limit(n))
 
     def skip(self, n: int) -> Query:
         """Rows after the first ``n``. Where the options forbid a skip alone, a take must follow."""
         _whole(n)
-        out = Query(self.df.offset(n))
-        out._skipped = not current().skip_alone
+        out = Query(self.df)
+        out._offset, out._skipped = n, not current().skip_alone
         return out
 
     def reverse(self) -> Query:

@@ -515,7 +515,7 @@ class Store:
             sql = sql.replace(view[0], f"`catalog_{view[1].lower()}`")
             view_of(self, view[1].lower()).createOrReplaceTempView(f"catalog_{view[1].lower()}")
         self.register()
-        return self.spark.sql(dialect.translate(sql, args))
+        return dialect.rows(self.spark, sql, args)
 
     def register(self) -> None:
         """The tables as views of the session."""
